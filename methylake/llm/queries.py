@@ -22,6 +22,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, protos, keep=("doc_id", "held_out"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from methylake.llm import pii
+
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
