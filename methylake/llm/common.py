@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,18 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def put_bucketed(self, df: DataFrame, name: str, col: str) -> DataFrame:
+        """Writes df in buckets of col, as many as shuffle partitions: later joins on col don't shuffle it."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"scratch_{self.root.rsplit('-', 1)[1]}_{name}"
+        df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(n, col).saveAsTable(table)
+        return self.spark.table(table)
+
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps now, not at the driver's next full collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for n in names:
             self._fs().delete(self._path(self.path(n)), True)
@@ -98,10 +111,26 @@ def content_key(col: str = "text"):
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(col), F.lit("")), 256)), 1, 16)
 
 
-def distinct_texts(ws: Workspace, docs: DataFrame, name: str = "texts") -> DataFrame:
-    """One row per different text: key binary, copies long, text string. Copies meet in partial aggregates, so a hot group never lands in one task."""
+def distinct_texts(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """One row per different text: tid long, copies long, text string; in buckets of tid.
+
+    Texts are told apart by 128 bits of their content; tid is a hash of those that is drawn
+    anew in the rare case that two texts share it. Copies meet in partial aggregates, so a
+    hot group never lands in one task.
+    """
     d = docs.select(content_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return ws.put(d.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), name)
+    one = d.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    for salt in range(64):
+        got = ws.put_bucketed(one.select(text_id(F.col("key"), salt).alias("tid"), "copies", "text"), f"texts{salt}", "tid")
+        ws.free()
+        if got.groupBy("tid").count().where("count > 1").isEmpty():
+            break
+    ws.salt = salt
+    return got
+
+
+def text_id(key, salt: int = 0):
+    return F.xxhash64(key, F.lit(salt))
 
 
 def components(ws: Workspace, edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:

@@ -36,6 +36,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.digest_table(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from methylake.llm import substring_dedup
+
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from methylake.llm import suffix_dedup
+
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
