@@ -54,6 +54,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from methylake.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from methylake.llm import embed_dedup
 
