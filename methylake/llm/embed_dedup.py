@@ -107,7 +107,7 @@ def near(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, eps
         return {"tid": np.concatenate(ids), "band": np.concatenate(out).view(np.int64)}
 
     keys = ws.put(map_batches(cls.select("tid", "embedding"), sign, "tid bigint, band bigint"), "bands")
-    least = keys.groupBy("band").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("band", "a")
+    least = ws.put(keys.groupBy("band").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("band", "a"), "least")
     stars = keys.join(least, "band").select("a", F.col("tid").alias("b")).where("a <> b")
     cand = members(ws, stars, "e")
     full = cls.select("tid", "copies", "embedding").join(cand, "tid")
@@ -115,8 +115,8 @@ def near(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, eps
     ws.drop("bands")
     info = cls.select("tid", "class_id", "copies").join(found, "tid", "left").select("tid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "tid").alias("root"))
     info = ws.put(info, "info")
-    low = info.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    info = info.join(low, "root").select("tid", "n_links", "component_id")
+    low = ws.put(info.groupBy("root").agg(F.min("class_id").alias("component_id")), "low")
+    info = ws.put(info.join(low, "root").select("tid", "n_links", "component_id"), "joined")
     out = keyed.select("vec_id", "tid").join(info, "tid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("tid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

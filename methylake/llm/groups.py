@@ -42,7 +42,7 @@ def members(ws: Workspace, stars: DataFrame, tag: str, block: int = BLOCK) -> Da
     comp = ws.put(components(ws, stars, f"{tag}cand"), f"{tag}comp")
     total = comp.count()
     bins = max(1, math.ceil(total / (block / 2)))
-    sizes = comp.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sizes = ws.put(comp.groupBy("root").agg(F.count(F.lit(1)).alias("size")), f"{tag}sizes")
     n = F.ceil(F.col("size") / block).cast("int")
     m = comp.join(sizes, "root").select(F.col("node").alias("tid"), "root", n.alias("n"), F.pmod(F.xxhash64("node"), n.cast("long")).cast("int").alias("blk"))
     alone = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))

@@ -98,7 +98,7 @@ def link_texts(ws: Workspace, texts: DataFrame, n: int = 5, threshold: float = 0
         return {"tid": np.repeat(b.column(0).to_numpy()[some], bands), "band": out.ravel().view(np.int64)}
 
     keys = ws.put(map_batches(texts.select("tid", "text"), sign, "tid bigint, band bigint", 1 << 20), "bands")
-    least = keys.groupBy("band").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("band", "a")
+    least = ws.put(keys.groupBy("band").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("band", "a"), "least")
     stars = keys.join(least, "band").select("a", F.col("tid").alias("b")).where("a <> b")
     cand = members(ws, stars, "j")
 
@@ -122,8 +122,8 @@ def join(docs: DataFrame, **how) -> DataFrame:
     keyed = docs.select("doc_id", text_id(content_key(), ws.salt).alias("tid"), F.expr(NO_WORDS).alias("void"))
     cls = keyed.where("not void").groupBy("tid").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     cls = ws.put(cls.join(found, "tid", "left").select("tid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "tid").alias("root")), "classes")
-    low = cls.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    cls = cls.join(low, "root").select("tid", "class_id", "n_links", "component_id")
+    low = ws.put(cls.groupBy("root").agg(F.min("class_id").alias("component_id")), "low")
+    cls = ws.put(cls.join(low, "root").select("tid", "class_id", "n_links", "component_id"), "classified")
     linked = keyed.where("not void").join(cls, "tid").select("doc_id", "class_id", "n_links", "component_id")
     void = keyed.where("void").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(void).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
