@@ -114,23 +114,23 @@ def content_key(col: str = "text"):
 def distinct_texts(ws: Workspace, docs: DataFrame, whole: bool = False) -> DataFrame:
     """One row per different text: tid long, copies long, text string; in buckets of tid.
 
+    tid is a hash of the text's content. Should two different texts share one (that shows in
+    128 bits of their content), all are drawn anew with the next salt. Copies meet in partial
+    aggregates, so a hot group never lands in one task; the aggregate's partitions are the buckets.
     whole adds row struct<o, c>: c the other columns of the copy that comes first by o (ids before nulls).
-
-    Texts are told apart by 128 bits of their content; tid is a hash of those that is drawn
-    anew in the rare case that two texts share it. Copies meet in partial aggregates, so a
-    hot group never lands in one task.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     row = [F.struct(F.struct(F.col("doc_id").isNull(), "doc_id").alias("o"), F.struct(*rest).alias("c")).alias("row")] if whole else []
     d = docs.select(content_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *row)
-    one = d.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), *[F.min("row").alias("row") for _ in row])
     for salt in range(64):
-        got = ws.put_bucketed(one.select(text_id(F.col("key"), salt).alias("tid"), "copies", "text", *["row" for _ in row]), f"texts{salt}", "tid")
+        one = d.groupBy(text_id(F.col("key"), salt).alias("tid")).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), (F.min("key") != F.max("key")).alias("clash"), *[F.min("row").alias("row") for _ in row])
+        got = ws.put_bucketed(one, f"texts{salt}", "tid")
         ws.free()
-        if got.groupBy("tid").count().where("count > 1").isEmpty():
+        if got.where("clash").isEmpty():
             break
+        ws.drop(f"texts{salt}")
     ws.salt = salt
-    return got
+    return got.drop("clash")
 
 
 def text_id(key, salt: int = 0):

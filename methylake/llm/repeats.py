@@ -158,7 +158,8 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
         return {"tid": _tids(b)[text], "place": pack(a - base, lo - base, hi - base), "name": run[a].view(np.int64)}
 
     found = ws.put(map_batches(texts.select("tid", "text"), find, "tid bigint, place bigint, name bigint", BATCH), "seeds")
-    twice = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    # counts are tables of their own: only then can Spark split the other side of the join at a hot name
+    twice = ws.put(found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "twice")
     level1 = ws.put(found.join(twice, "name", "left_semi").select("tid", "place"), "level1")
     ws.free()
 
@@ -179,8 +180,9 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
     more = ws.put(map_batches(texts.select("tid", "text").join(grouped, "tid"), extend, "tid bigint, place bigint, name bigint, ctx bigint", BATCH), "doubled")
     ws.drop("seeds", "level1")
     ctx = more.groupBy("name", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "place")).alias("one"))
+    ctx = ws.put(ctx, "counted")
     groups = ctx.groupBy("name").agg(F.sum("n").alias("all"), F.max(F.col("n") == 1).alias("mixed"))
-    ctx = ws.put(ctx.join(groups.where("all > 1"), "name"), "contexts")
+    ctx = ws.put(ctx.join(ws.put(groups.where("all > 1"), "groups"), "name"), "contexts")
     whole = more.join(ctx.where("n > 1").select("name", "ctx"), ["name", "ctx"], "left_semi").select("tid", "place")
 
     def single(b):
@@ -198,7 +200,7 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
     doubt = ctx.where("mixed").select("one.tid", "one.place", (F.col("n") == 1).alias("alone"))
     listed = doubt.groupBy("tid").agg(F.collect_list(F.struct("place", "alone")).alias("x")).select("tid", F.col("x.place").alias("places"), F.col("x.alone").alias("alone"))
     windows = ws.put(map_batches(texts.select("tid", "text").join(listed, "tid"), single, "tid bigint, p bigint, alone boolean, w1 bigint, w2 bigint", BATCH), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    again = ws.put(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "again")
     parts = windows.where("alone").join(again, ["w1", "w2"], "left_semi").select("tid", F.expr("shiftleft(p, 32) | p").alias("r"))
     a = F.shiftright("place", 16)
     first, last = a - (F.shiftright("place", 8).bitwiseAND(255)), a - F.col("place").bitwiseAND(255)
@@ -234,7 +236,7 @@ def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tupl
         return {"tid": b.column(at("tid"))} | {k: [x[k] for x in out] for k in out[0]}
 
     done = ws.put(map_batches(texts.join(cover, "tid", "left"), finish, f"tid bigint, {schema}", BATCH), "done")
-    ws.drop("doubled", "contexts", "windows", f"texts{ws.salt}")
+    ws.drop("doubled", "counted", "groups", "contexts", "windows", "twice", "again", f"texts{ws.salt}")
     ws.free()
     keyed = docs.select(*keep, text_id(content_key(), ws.salt).alias("tid"))
     return keyed.join(done, "tid").drop("tid")
