@@ -54,6 +54,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from methylake.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc() % 3 == 1, F.lit(False)))
+    labels = table(spark, sf_dir, "labels").where(crc() % 3 != 1).where("toxic is not null").select("doc_id", "toxic")
+    model = toxicity.fit(toxicity.sample(docs, labels))
+    return toxicity.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from methylake.llm import warc
 
