@@ -13,7 +13,8 @@ Levels. (1) Seeds whose name occurs once are dropped. (2) What is left is extend
 twice the length; names that occur once are dropped. (3) A seed stands for a run of
 window starts; together they span a context. Contexts that occur twice or more repeat
 all their windows. (4) Where a group of equal double seeds also has contexts that occur
-once, the single windows of its different contexts are compared.
+once, its different contexts are extended to either side in steps of half a seed; as far
+as the extensions repeat, their single windows are compared.
 
 Only names, places and counts are shuffled, and counts are summed before the shuffle.
 Texts stay in their buckets.
@@ -49,6 +50,10 @@ class Spec:
     def reach(self) -> int:
         return self.length - 2 * self.seed + 1
 
+    @property
+    def step(self) -> int:
+        return max(1, self.seed // 2)
+
 
 def split_words(text: str | None) -> list[bytes]:
     """Runs of other characters than blank, tab, line feed, vertical tab, form feed and return."""
@@ -67,10 +72,10 @@ def tokens(texts: list[str | None], kind: str) -> tuple[np.ndarray, np.ndarray]:
         return _byte_names()[np.frombuffer(b"".join(raw), np.uint8)], np.fromiter(map(len, raw), np.int64, len(raw))
     parts = [split_words(t) for t in texts]
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    new = set(chain.from_iterable(parts)) - _words.keys()
+    new = [w for w in set(chain.from_iterable(parts)) if w not in _words]
     if len(_words) + len(new) > 400_000:
         _words.clear()
-        new = set(chain.from_iterable(parts))
+        new = list(set(chain.from_iterable(parts)))
     _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
     return np.fromiter(map(_words.__getitem__, chain.from_iterable(parts)), np.uint64, int(lens.sum())), lens
 
@@ -197,7 +202,34 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
         g = p + np.repeat(base, n)
         return {"tid": np.repeat(_tids(b)[row], n), "p": p, "alone": np.repeat(alone.astype(bool), n), "w1": window_name(run, g, spec, 23).view(np.int64), "w2": window_name(run, g, spec, 37).view(np.int64)}
 
-    doubt = ctx.where("mixed").select("one.tid", "one.place", (F.col("n") == 1).alias("alone"))
+    def flank(b):
+        t, lens = tokens(_texts(b), spec.kind)
+        run = names(t, spec.seed)
+        place, row = _flat(b, "places")
+        end = np.cumsum(lens)[row]
+        base = end - lens[row]
+        a = unpack(place)[0] + base
+        out = {k: [] for k in ("tid", "place", "side", "name")}
+        for j in range(1, (spec.reach - 1) // spec.step + 1):
+            e = j * spec.step
+            for side, first, ok in ((j, a - e, a - e >= base), (-j, a, a + 2 * spec.seed + e <= end)):
+                f = first[ok]
+                last = f + e + spec.seed
+                name = _fold(run, [np.minimum(f + k, last) for k in range(0, e + 2 * spec.seed, spec.seed)], 1000 + side)
+                for k, v in zip(out, (_tids(b)[row[ok]], place[ok], np.full(len(f), side, np.int8), name.view(np.int64)), strict=True):
+                    out[k].append(v)
+        return {k: np.concatenate(v) for k, v in out.items()}
+
+    doubt = ws.put(ctx.where("mixed").select("one.tid", "one.place", (F.col("n") == 1).alias("alone")), "doubt")
+    near = doubt.groupBy("tid").agg(F.collect_list("place").alias("places"))
+    flanks = ws.put(map_batches(texts.select("tid", "text").join(near, "tid"), flank, "tid bigint, place bigint, side tinyint, name bigint", BATCH), "flanks")
+    shared = ws.put(flanks.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "shared")
+    wide = flanks.join(shared, "name", "left_semi").groupBy("tid", "place").agg(F.max("side").alias("l"), F.min("side").alias("r"))
+    step, most = spec.step, spec.reach - 1
+    far = F.least(F.shiftright("place", 8).bitwiseAND(255), F.greatest(F.coalesce("l", F.lit(0)), F.lit(0)) * step + (step - 1))
+    close = F.greatest(F.col("place").bitwiseAND(255), most + F.least(F.coalesce("r", F.lit(0)), F.lit(0)) * step - (step - 1))
+    doubt = doubt.join(wide, ["tid", "place"], "left").withColumns({"far": far, "close": close}).where("far >= close")
+    doubt = doubt.select("tid", F.expr("shiftleft(shiftright(place, 16), 16) | shiftleft(far, 8) | close").cast("long").alias("place"), "alone")
     listed = doubt.groupBy("tid").agg(F.collect_list(F.struct("place", "alone")).alias("x")).select("tid", F.col("x.place").alias("places"), F.col("x.alone").alias("alone"))
     windows = ws.put(map_batches(texts.select("tid", "text").join(listed, "tid"), single, "tid bigint, p bigint, alone boolean, w1 bigint, w2 bigint", BATCH), "windows")
     again = ws.put(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "again")
@@ -236,7 +268,7 @@ def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tupl
         return {"tid": b.column(at("tid"))} | {k: [x[k] for x in out] for k in out[0]}
 
     done = ws.put(map_batches(texts.join(cover, "tid", "left"), finish, f"tid bigint, {schema}", BATCH), "done")
-    ws.drop("doubled", "counted", "groups", "contexts", "windows", "twice", "again", f"texts{ws.salt}")
+    ws.drop("doubled", "counted", "groups", "contexts", "windows", "twice", "again", "doubt", "flanks", "shared", f"texts{ws.salt}")
     ws.free()
     keyed = docs.select(*keep, text_id(content_key(), ws.salt).alias("tid"))
     return keyed.join(done, "tid").drop("tid")
