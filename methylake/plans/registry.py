@@ -1,13 +1,441 @@
-"""Registered queries of the methylation engine and their SQL counterparts."""
+"""Registered queries of the methylation engine and their SQL counterparts (DuckDB)."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from methylake.operators import dmr, intervals, qc, stats
+from methylake.operators.cohort import MethylFrame
+from methylake.plans import testdata
+from methylake.plans.testdata import CTE
+from methylake.sources import schema, sinks
+
+KEY = ["chr", "start", "end"]
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+K = 'chr, "start", "end"'
+
+
+def query(sql: str | None = None, bare: bool = False):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql if bare else CTE + sql
+        return f
+
+    return add
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def site_table(m: MethylFrame) -> DataFrame:
+    return m.sites.select(*KEY, "strand", "context")
+
+
+# --- scans and loci ----------------------------------------------------------------
+
+
+@query(f"SELECT sample_id, {K}, methylated, coverage, ROUND(beta, 6) AS beta FROM calls WHERE coverage BETWEEN 10 AND 100")
+def calls_filter_coverage_scan(spark, sf):
+    c = testdata.calls(spark, sf).where(F.col("coverage").between(10, 100))
+    return c.select("sample_id", *KEY, "methylated", "coverage", *r6("beta"))
+
+
+@query("""SELECT sample_id, chr, "start" AS position, "start" - 1 AS "start", "start" AS "end", strand, methylated, coverage FROM calls WHERE context = 'CpG' AND "start" > 0""")
+def cx_coordinates(spark, sf):
+    c = testdata.calls(spark, sf).where("context = 'CpG' and start > 0").withColumnRenamed("start", "position")
+    return c.select("sample_id", "chr", "position", (F.col("position") - 1).alias("start"), F.col("position").alias("end"), "strand", "methylated", "coverage")
+
+
+@query("""SELECT chr, "start", CAST(CASE WHEN chr = 'chrX' THEN 23 ELSE CAST(substr(chr, 4) AS BIGINT) END * 10000000000 + "start" AS BIGINT) AS locus_id, chr AS back_chr, "start" AS back_start FROM sites""")
+def locus_encode_decode(spark, sf):
+    s = testdata.cohort(spark, sf).sites.select("chr", "start", schema.locus_id().alias("locus_id"))
+    return s.select("*", schema.locus_chr(F.col("locus_id")).alias("back_chr"), schema.locus_start(F.col("locus_id")).alias("back_start"))
+
+
+@query("""SELECT chr, CAST(COUNT(*) AS BIGINT) AS n_sites, CAST(DENSE_RANK() OVER (ORDER BY CAST(substr(chr, 4) AS INT)) - 1 AS INT) AS code FROM sites GROUP BY chr""")
+def chromosome_codes(spark, sf):
+    from pyspark.sql import Window
+
+    n = testdata.cohort(spark, sf).sites.groupBy("chr").agg(F.count(F.lit(1)).alias("n_sites"))
+    return n.select("chr", "n_sites", (F.dense_rank().over(Window.orderBy(schema.chr_ord())) - 1).cast("int").alias("code"))
+
+
+@query(f"SELECT {K}, strand, context, CAST((SELECT COUNT(*) FROM calls c WHERE c.chr = s.chr AND c.\"start\" = s.\"start\") AS BIGINT) AS n_samples FROM sites s")
+def cohort_outer_loci(spark, sf):
+    m = testdata.cohort(spark, sf)
+    return m.calls.groupBy(*KEY).agg(F.min("strand").alias("strand"), F.min("context").alias("context"), F.count(F.lit(1)).alias("n_samples"))
+
+
+@query(f"SELECT {K}, strand, context FROM sites WHERE (chr, \"start\") IN (SELECT (chr, \"start\") FROM calls GROUP BY chr, \"start\" HAVING COUNT(*) = 6)")
+def cohort_inner_loci(spark, sf):
+    return site_table(_built(spark, sf, "inner"))
+
+
+def _built(spark, sf, join_type):
+    from methylake.sources.readers import build_cohort
+
+    c = testdata.calls(spark, sf)
+    ids = [f"s{i}" for i in range(6)]
+    return build_cohort(spark, ids, [c.where(F.col("sample_id") == s).drop("sample_id") for s in ids], join_type=join_type)
+
+
+@query(f"SELECT s.sample_id, {', '.join('t.' + k for k in ('chr', chr(34) + 'start' + chr(34), chr(34) + 'end' + chr(34)))}, COALESCE(c.methylated, 0) AS methylated, COALESCE(c.coverage, 0) AS coverage, ROUND(c.beta, 6) AS beta FROM sites t CROSS JOIN (SELECT 's' || i AS sample_id FROM range(6) r(i)) s LEFT JOIN calls c ON c.sample_id = s.sample_id AND c.chr = t.chr AND c.\"start\" = t.\"start\"")
+def cohort_dense(spark, sf):
+    return testdata.cohort(spark, sf).dense().select("sample_id", *KEY, "methylated", "coverage", *r6("beta"))
+
+
+@query(f"SELECT sample_id, {K}, coverage - methylated AS unmethylated FROM calls")
+def layer_unmethylated(spark, sf):
+    return testdata.cohort(spark, sf).unmethylated
+
+
+# --- intervals -----------------------------------------------------------------------
+
+_MERGED = """, marked AS (SELECT *, CASE WHEN "start" > MAX("end") OVER (PARTITION BY chr ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS brk FROM features),
+numbered AS (SELECT *, SUM(brk) OVER (PARTITION BY chr ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+merged AS (SELECT chr, MIN("start") AS "start", MAX("end") AS "end" FROM numbered GROUP BY chr, island)
+"""
+
+
+@query(_MERGED + f"SELECT {K} FROM merged")
+def regions_merge(spark, sf):
+    return intervals.merge(testdata.features(spark, sf))
+
+
+@query(f"SELECT sample_id, {K}, methylated, coverage FROM calls c WHERE EXISTS (SELECT 1 FROM features r WHERE r.chr = c.chr AND r.\"start\" <= c.\"start\" AND c.\"start\" < r.\"end\")")
+def regions_filter(spark, sf):
+    r = intervals.regions(spark, testdata.features(spark, sf))
+    return intervals.contained(testdata.calls(spark, sf), r).select("sample_id", *KEY, "methylated", "coverage")
+
+
+@query("SELECT s.chr, s.\"start\", s.\"end\", f.\"start\" AS r_start, f.\"end\" AS r_end, f.name AS r_name FROM sites s JOIN features f ON s.chr = f.chr AND s.\"start\" < f.\"end\" AND s.\"end\" > f.\"start\"")
+def interval_overlap_join(spark, sf):
+    m = testdata.cohort(spark, sf)
+    return intervals.overlaps(m.sites.select(*KEY), testdata.features(spark, sf)).select(*KEY, "r_start", "r_end", "r_name")
+
+
+@query("SELECT s.chr, s.\"start\", s.\"end\", s.strand, s.context, (SELECT MIN_BY(f.name, f.bed_row) FROM features f WHERE s.chr = f.chr AND s.\"start\" < f.\"end\" AND s.\"end\" > f.\"start\") AS feature FROM sites s")
+def annotate_features(spark, sf):
+    m = testdata.cohort(spark, sf)
+    return intervals.annotate_features(m.sites, testdata.features(spark, sf), name_col="name")
+
+
+@query("""SELECT s.chr, s."start", s."end", s.strand, s.context, COALESCE((SELECT MIN(CASE WHEN s."start" < i."end" AND s."end" > i."start" THEN '1island' WHEN s."start" < i."end" + 2000 AND s."end" > i."start" - 2000 THEN '2shore' ELSE '3shelf' END)
+FROM islands i WHERE s.chr = i.chr AND s."start" < i."end" + 4000 AND s."end" > i."start" - 4000), '4open_sea')[2:] AS cpg_region FROM sites s""")
+def annotate_cpg_islands(spark, sf):
+    m = testdata.cohort(spark, sf)
+    return intervals.annotate_cpg_islands(m.sites, testdata.islands(spark, sf))
+
+
+def _tile_sql(window: int, step: int, least: int) -> str:
+    span = f"""SELECT *, unnest(range(GREATEST(0, CAST(floor(("start" - {window}) / {step}.0) AS BIGINT) + 1), CAST(floor(("end" - 1) / {step}.0) AS BIGINT) + 1)) AS k"""
+    return f"""SELECT c.sample_id, c.chr, c.k * {step} AS "start", LEAST(c.k * {step} + {window}, z.size) AS "end", n.n_cpgs,
+CAST(SUM(methylated) AS BIGINT) AS methylated, CAST(SUM(coverage) AS BIGINT) AS coverage, ROUND(SUM(methylated) * 100.0 / SUM(coverage), 6) AS beta
+FROM ({span} FROM calls) c JOIN (SELECT chr, k, COUNT(*) AS n_cpgs FROM ({span} FROM sites) GROUP BY chr, k HAVING COUNT(*) >= {least}) n ON c.chr = n.chr AND c.k = n.k
+JOIN (SELECT chr, MAX("end") AS size FROM sites GROUP BY chr) z ON z.chr = c.chr GROUP BY c.sample_id, c.chr, c.k, n.n_cpgs, z.size"""
+
+
+def _tiles(spark, sf, *how):
+    t = intervals.tile_counts(testdata.cohort(spark, sf), *how)
+    return t.calls.join(t.sites, KEY).select("sample_id", *KEY, "n_cpgs", "methylated", "coverage", *r6("beta"))
+
+
+@query(_tile_sql(1000, 1000, 1))
+def tile_1000(spark, sf):
+    return _tiles(spark, sf, 1000)
+
+
+@query(_tile_sql(1000, 500, 1))
+def tile_sliding_1000_500(spark, sf):
+    return _tiles(spark, sf, 1000, 500)
+
+
+@query(_tile_sql(1000, 1000, 5))
+def tile_min_cpgs(spark, sf):
+    return _tiles(spark, sf, 1000, None, 5)
+
+
+# --- cohort filters and summaries ----------------------------------------------------
+
+_KEPT = f"SELECT {K}, strand, context FROM sites WHERE (chr, \"start\") IN (SELECT (chr, \"start\") FROM calls GROUP BY chr, \"start\" HAVING {{}})"
+
+
+@query(_KEPT.format("COUNT(*) FILTER (WHERE coverage >= 60) >= 1"))
+def filter_cov_any(spark, sf):
+    return site_table(testdata.cohort(spark, sf).filter_coverage(60))
+
+
+@query(_KEPT.format("COUNT(*) FILTER (WHERE coverage >= 10) >= 6"))
+def filter_cov_all(spark, sf):
+    return site_table(testdata.cohort(spark, sf).filter_coverage(10, require_all_samples=True))
+
+
+@query(_KEPT.format("COUNT(*) FILTER (WHERE coverage >= 20) >= 1 AND MAX(coverage) <= 90"))
+def filter_cov_max(spark, sf):
+    return site_table(testdata.cohort(spark, sf).filter_coverage(20, 90))
+
+
+@query(_KEPT.format("COUNT(*) = 6"))
+def unite_all(spark, sf):
+    return site_table(testdata.cohort(spark, sf).unite())
+
+
+@query(_KEPT.format("COUNT(*) FILTER (WHERE grp = 'control') >= 3 AND COUNT(*) FILTER (WHERE grp = 'treated') >= 3"))
+def unite_min_per_group(spark, sf):
+    return site_table(testdata.cohort(spark, sf).unite(min_per_group=3, treatment_col="group"))
+
+
+@query(f"SELECT {K}, strand, context FROM sites WHERE context = 'CHG'")
+def subset_context(spark, sf):
+    return site_table(testdata.cohort(spark, sf).subset_context("CHG"))
+
+
+@query("SELECT sample_id, CAST(COUNT(*) AS BIGINT) AS n_calls FROM calls WHERE grp = 'treated' GROUP BY sample_id")
+def subset_samples(spark, sf):
+    m = testdata.cohort(spark, sf).where_samples(F.col("group") == "treated")
+    return m.calls.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
+@query("SELECT sample_id, ROUND(SUM(coverage) * 1.0 / n, 6) AS mean_cov, MEDIAN(coverage) AS median_cov, n AS n_sites, COUNT(*) AS n_sites_covered, ROUND(COUNT(*) * 100.0 / n, 6) AS pct_sites_covered FROM calls, (SELECT COUNT(*) AS n FROM sites) GROUP BY sample_id, n")
+def coverage_stats(spark, sf):
+    return testdata.cohort(spark, sf).coverage_stats().select("sample_id", *r6("mean_cov"), "median_cov", "n_sites", "n_sites_covered", *r6("pct_sites_covered"))
+
+
+@query("SELECT sample_id, ROUND(AVG(beta), 6) AS global_beta_mean, ROUND(MEDIAN(beta), 6) AS global_beta_median, CAST(SUM(methylated) AS BIGINT) AS total_methylated, CAST(SUM(coverage) AS BIGINT) AS total_coverage, ROUND(SUM(methylated) * 100.0 / SUM(coverage), 6) AS global_pct_meth FROM calls GROUP BY sample_id")
+def global_methylation(spark, sf):
+    return testdata.cohort(spark, sf).global_methylation().select("sample_id", *r6("global_beta_mean", "global_beta_median"), "total_methylated", "total_coverage", *r6("global_pct_meth"))
+
+
+# --- statistics ------------------------------------------------------------------------
+
+_POOLED = """, pooled AS (SELECT chr, "start", "end", CAST(COALESCE(SUM(methylated) FILTER (WHERE grp = 'control'), 0) AS BIGINT) AS t11, CAST(COALESCE(SUM(coverage - methylated) FILTER (WHERE grp = 'control'), 0) AS BIGINT) AS t12,
+CAST(COALESCE(SUM(methylated) FILTER (WHERE grp = 'treated'), 0) AS BIGINT) AS t21, CAST(COALESCE(SUM(coverage - methylated) FILTER (WHERE grp = 'treated'), 0) AS BIGINT) AS t22,
+AVG(beta) FILTER (WHERE grp = 'control') AS ma, AVG(beta) FILTER (WHERE grp = 'treated') AS mb FROM calls GROUP BY chr, "start", "end"),
+margins AS (SELECT *, t11 + t21 AS k, t11 + t12 AS d, t11 + t12 + t21 + t22 AS n FROM pooled),
+fisher AS (SELECT *, LEAST(1.0, 2 * list_sum(list_transform(range(t11, LEAST(k, d) + 1), lambda x: CASE WHEN d - x > n - k THEN 0 ELSE exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(d - x + 1) - lgamma(n - k - d + x + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1)) END))) AS p FROM margins),
+tested AS (SELECT *, mb - ma AS diff, ROW_NUMBER() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS m FROM fisher),
+adjusted AS (SELECT *, LEAST(1.0, MIN(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM tested)
+"""
+_PROB = "exp(lgamma(k + 1) - lgamma({0} + 1) - lgamma(k - {0} + 1) + lgamma(n - k + 1) - lgamma(d - {0} + 1) - lgamma(n - k - d + {0} + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1))"
+_EXACT = _POOLED + f""", probs AS (SELECT *, list_transform(range(GREATEST(0, d + k - n), LEAST(k, d) + 1), lambda x: {_PROB.format("x")}) AS ps, {_PROB.format("t11")} AS po FROM margins),
+exact AS (SELECT *, mb - ma AS diff, LEAST(1.0, list_sum(list_filter(ps, lambda v: v <= po * (1 + 1e-7)))) AS p FROM probs)
+"""
+
+
+@query(_POOLED + f"SELECT {K}, ROUND(ma, 6) AS mean_meth_control, ROUND(mb, 6) AS mean_meth_treated, ROUND(mb - ma, 6) AS mean_diff FROM pooled")
+def group_means_diff(spark, sf):
+    return stats.group_means(testdata.cohort(spark, sf), "group", "control", "treated").select(*KEY, *r6("mean_meth_control", "mean_meth_treated", "mean_diff"))
+
+
+@query(_POOLED + f"SELECT {K}, t11, t12, t21, t22 FROM pooled")
+def pooled_counts(spark, sf):
+    return stats.pooled(testdata.cohort(spark, sf), "group", "control", "treated")
+
+
+@query(_POOLED + f"SELECT {K}, ROUND(p, 6) AS pvalue, ROUND(log2(CASE WHEN t12 * t21 > 0 THEN t11 * t22 * 1.0 / (t12 * t21) WHEN t11 * t22 > 0 THEN CAST('inf' AS DOUBLE) ELSE 1 END + 1e-10), 6) AS log2_odds_ratio FROM fisher")
+def fisher_dmc(spark, sf):
+    return stats.fisher_exact_test(testdata.cohort(spark, sf), "group", "control", "treated").select(*KEY, *r6("pvalue", "log2_odds_ratio"))
+
+
+@query(_EXACT + f"SELECT {K}, ROUND(p, 6) AS pvalue FROM exact")
+def fisher_exact_two_sided(spark, sf):
+    return stats.fisher_exact_test(testdata.cohort(spark, sf), "group", "control", "treated", "exact").select(*KEY, *r6("pvalue"))
+
+
+@query(""", v AS (SELECT *, log2((methylated + 0.5) / (coverage - methylated + 0.5)) AS m FROM calls WHERE coverage > 0),
+f AS (SELECT chr, "start", "end", COUNT(*) FILTER (WHERE grp = 'control') AS n0, COUNT(*) FILTER (WHERE grp = 'treated') AS n1, AVG(m) FILTER (WHERE grp = 'control') AS m0, AVG(m) FILTER (WHERE grp = 'treated') AS m1,
+VAR_POP(m) FILTER (WHERE grp = 'control') AS v0, VAR_POP(m) FILTER (WHERE grp = 'treated') AS v1 FROM v GROUP BY chr, "start", "end"),
+g AS (SELECT *, n0 > 0 AND n1 > 0 AND n0 + n1 > 2 AS ok FROM f)
+SELECT chr, "start", "end", CASE WHEN ok THEN ROUND(m1 - m0, 6) END AS coef, CASE WHEN ok THEN ROUND((n0 * v0 + n1 * v1) / (n0 + n1 - 2), 6) END AS s2, CASE WHEN ok THEN n0 + n1 - 2 END AS df, CASE WHEN ok THEN ROUND(sqrt(1.0 / n0 + 1.0 / n1), 6) END AS unscaled FROM g""")
+def limma_stats(spark, sf):
+    return stats.limma_stats(testdata.cohort(spark, sf), "group", "control", "treated").select(*KEY, *r6("coef", "s2"), "df", *r6("unscaled"))
+
+
+@query()
+def limma_dmc(spark, sf):
+    return stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma")
+
+
+@query()
+def limma_covariates(spark, sf):
+    return stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma", covariates=["batch"])
+
+
+@query()
+def glm_wald(spark, sf):
+    return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated")
+
+
+@query()
+def glm_lrt(spark, sf):
+    return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated", overdispersion=False)
+
+
+@query()
+def glm_exact(spark, sf):
+    return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated", overdispersion=False, covariates=["batch"], method="exact")
+
+
+def _pvalues(spark, sf):
+    c = testdata.calls(spark, sf)
+    p = (((F.col("methylated") * 7919 + F.col("coverage") * 104729 + F.col("start")) % 10007) + 1) / F.lit(10008.0)
+    return c.select("sample_id", *KEY, p.alias("pvalue"))
+
+
+_P = """, pv AS (SELECT sample_id, chr, "start", "end", (((methylated * 7919 + coverage * 104729 + "start") % 10007) + 1) / 10008.0 AS p FROM calls),
+o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS n FROM pv),
+u AS (SELECT *, MAX(i) OVER (PARTITION BY p) AS hi, MIN(i) OVER (PARTITION BY p) AS lo FROM o)
+SELECT sample_id, chr, "start", "end", ROUND(p, 6) AS pvalue, ROUND({}, 6) AS qvalue FROM u"""
+
+
+def _fdr(spark, sf, method):
+    return stats.fdr(_pvalues(spark, sf), method).select("sample_id", *KEY, *r6("pvalue", "qvalue"))
+
+
+@query(_P.format("LEAST(1.0, MIN(p * n / hi) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING))"))
+def fdr_bh(spark, sf):
+    return _fdr(spark, sf, "BH")
+
+
+@query(_P.format("LEAST(1.0, p * n)"))
+def fdr_bonferroni(spark, sf):
+    return _fdr(spark, sf, "bonferroni")
+
+
+@query(_P.format("LEAST(1.0, MAX(p * (n - lo + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))"))
+def fdr_holm(spark, sf):
+    return _fdr(spark, sf, "holm")
+
+
+@query(_P.format("LEAST(1.0, MIN(p * n / hi) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) * (SELECT SUM(1.0 / j) FROM range(1, (SELECT COUNT(*) FROM calls) + 1) r(j)))"))
+def fdr_by(spark, sf):
+    return _fdr(spark, sf, "fdr_by")
+
+
+# --- regions -----------------------------------------------------------------------------
+
+_DMR = """, sig AS (SELECT *, LAG("end") OVER w AS prev_end, LAG(sign(diff)) OVER w AS prev_sign, ROW_NUMBER() OVER w AS rn FROM ({}) WHERE q < {} AND diff IS NOT NULL WINDOW w AS (PARTITION BY chr ORDER BY "start", "end")),
+isl AS (SELECT *, SUM(CASE WHEN prev_end IS NULL OR "start" - prev_end > {} OR sign(diff) <> prev_sign THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY rn) AS island FROM sig),
+reg AS (SELECT chr, MIN("start") AS "start", MAX_BY("end", rn) AS "end", COUNT(*) AS n_cpgs, AVG(diff) AS mean_diff, MIN(q) AS min_qvalue FROM isl GROUP BY chr, island),
+dmrs AS (SELECT *, CASE WHEN mean_diff > 0 THEN 'hyper' ELSE 'hypo' END AS direction FROM reg WHERE n_cpgs >= {} AND abs(mean_diff) >= {})
+"""
+_DIFFS = "SELECT chr, \"start\", \"end\", mb - ma AS diff, 1.0 - LEAST(1.0, abs(mb - ma) / 100.0) AS q FROM pooled WHERE ma IS NOT NULL AND mb IS NOT NULL"
+
+
+def _diffs(spark, sf):
+    d = stats.group_means(testdata.cohort(spark, sf), "group", "control", "treated").where("mean_diff is not null")
+    return d.withColumn("qvalue", 1.0 - F.least(F.lit(1.0), F.abs("mean_diff") / 100.0))
+
+
+_CUT = _POOLED + _DMR.format(_DIFFS, 0.85, 2000, 2, 10)
+
+
+def _dmrs(spark, sf):
+    return dmr.merge_dmrs(_diffs(spark, sf), qvalue_cutoff=0.85, max_gap=2000, min_sites=2)
+
+
+@query(_CUT + 'SELECT chr, "start", "end", n_cpgs, ROUND(mean_diff, 6) AS mean_diff, ROUND(min_qvalue, 6) AS min_qvalue, direction FROM dmrs')
+def merge_dmrs(spark, sf):
+    return _dmrs(spark, sf).select(*KEY, "n_cpgs", *r6("mean_diff", "min_qvalue"), "direction")
+
+
+@query(_CUT + "SELECT chr, \"start\", \"end\", n_cpgs, direction FROM dmrs WHERE direction = 'hyper' AND n_cpgs >= 3 AND abs(mean_diff) >= 20 AND min_qvalue <= 0.7 AND chr IN ('chr1', 'chr2', 'chr3', 'chr5', 'chr8')")
+def filter_dmrs(spark, sf):
+    return dmr.filter_dmrs(_dmrs(spark, sf), direction="hyper", min_n_cpgs=3, min_abs_diff=20, max_qvalue=0.7, chromosomes=["chr1", "chr2", "chr3", "chr5", "chr8"]).select(*KEY, "n_cpgs", "direction")
+
+
+@query(_CUT + "SELECT chr, \"start\", \"end\", direction AS name, CAST(floor(LEAST(abs(mean_diff) * 10, 1000)) AS INT) AS score, '.' AS strand FROM dmrs")
+def dmrs_bed(spark, sf):
+    return sinks.dmr_bed(_dmrs(spark, sf))
+
+
+@query(_POOLED + f"SELECT {K}, ROUND(mb - ma, 6) AS mean_diff FROM pooled WHERE mb - ma IS NOT NULL ORDER BY mb - ma DESC, {K} LIMIT 50")
+def top_hyper_k(spark, sf):
+    return dmr.top(_diffs(spark, sf), 50).select(*KEY, *r6("mean_diff"))
+
+
+_FLAG = _EXACT + """, ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS m FROM exact),
+corrected AS (SELECT *, LEAST(1.0, MIN(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ranked)
+""" + _DMR.format("SELECT * FROM corrected", 0.05, 1000, 1, 10)
+
+
+@query(_FLAG + 'SELECT chr, "start", "end", n_cpgs, ROUND(mean_diff, 6) AS mean_diff, ROUND(min_qvalue, 6) AS min_qvalue, direction FROM dmrs')
+def flagship_fisher_dmr(spark, sf):
+    return flagship(spark, sf)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohort -> pooled exact tests -> FDR -> merged regions."""
+    m = testdata.cohort(spark, sf_dir)
+    dmc = stats.calculate_diff_meth(m, test="fisher", method="exact")
+    return dmr.merge_dmrs(dmc, min_sites=1).select(*KEY, "n_cpgs", *r6("mean_diff", "min_qvalue"), "direction")
+
+
+# --- quality control -----------------------------------------------------------------------
+
+
+@query(""", d AS (SELECT c.sample_id, c.chr, c."start", beta - m.mu AS v FROM calls c JOIN (SELECT sample_id, AVG(beta) AS mu FROM calls GROUP BY sample_id) m ON c.sample_id = m.sample_id),
+g AS (SELECT a.sample_id AS i, b.sample_id AS j, SUM(a.v * b.v) AS g FROM d a JOIN d b ON a.chr = b.chr AND a."start" = b."start" AND a.sample_id <= b.sample_id GROUP BY a.sample_id, b.sample_id)
+SELECT g.i, g.j, ROUND(g.g / sqrt(x.g) / sqrt(y.g), 6) AS corr FROM g JOIN g x ON x.i = g.i AND x.j = g.i JOIN g y ON y.i = g.j AND y.j = g.j""")
+def pearson_corr(spark, sf):
+    return qc.correlation_pairs(testdata.cohort(spark, sf)).select("i", "j", *r6("corr"))
+
+
+@query(""", m AS (SELECT sample_id, AVG(beta) AS mu FROM calls GROUP BY sample_id),
+f AS (SELECT m.sample_id, t.chr, t."start", COALESCE(c.beta, m.mu) AS b FROM sites t CROSS JOIN m LEFT JOIN calls c ON c.sample_id = m.sample_id AND c.chr = t.chr AND c."start" = t."start"),
+r AS (SELECT *, RANK() OVER (PARTITION BY sample_id ORDER BY b) + (COUNT(*) OVER (PARTITION BY sample_id, b) - 1) / 2.0 AS r FROM f)
+SELECT a.sample_id AS i, b.sample_id AS j, ROUND(corr(a.r, b.r), 6) AS corr FROM r a JOIN r b ON a.chr = b.chr AND a."start" = b."start" AND a.sample_id <= b.sample_id GROUP BY a.sample_id, b.sample_id""")
+def spearman_corr(spark, sf):
+    return qc.correlation_pairs(testdata.cohort(spark, sf), "spearman").select("i", "j", *r6("corr"))
+
+
+@query(""", d AS (SELECT sample_id, chr, "start", beta - AVG(beta) OVER (PARTITION BY chr, "start") AS v FROM calls)
+SELECT a.sample_id AS i, b.sample_id AS j, ROUND(SUM(a.v * b.v), 3) AS g FROM d a JOIN d b ON a.chr = b.chr AND a."start" = b."start" AND a.sample_id <= b.sample_id GROUP BY a.sample_id, b.sample_id""")
+def pca_gram(spark, sf):
+    return qc.pca_gram(testdata.cohort(spark, sf)).select("i", "j", F.round("g", 3).alias("g"))
+
+
+@query()
+def pca_scores(spark, sf):
+    scores, share = qc.pca(testdata.cohort(spark, sf), 5)
+    return spark.createDataFrame(scores.reset_index(names="sample_id"))
+
+
+@query()
+def assoc_components(spark, sf):
+    return spark.createDataFrame(qc.assoc_comp(testdata.cohort(spark, sf), 3).reset_index(names="component"))
+
+
+@query()
+def umap_layout(spark, sf):
+    return spark.createDataFrame(qc.umap(testdata.cohort(spark, sf)).reset_index(names="sample_id"))
+
+
+@query(""", c AS (SELECT sample_id, CAST(LEAST(coverage, 200) AS DOUBLE) AS c, coverage FROM calls), e AS (SELECT sample_id, MIN(c) AS lo, MAX(c) AS hi, AVG(coverage) AS mean_cov FROM c GROUP BY sample_id)
+SELECT c.sample_id, CAST(LEAST(floor((c - lo) * 100 / (hi - lo)), 99) AS INT) AS bin, COUNT(*) AS n, ROUND(mean_cov, 6) AS mean_cov FROM c JOIN e ON c.sample_id = e.sample_id GROUP BY c.sample_id, 2, mean_cov""")
+def coverage_hist(spark, sf):
+    return qc.coverage_hist(testdata.cohort(spark, sf)).select("sample_id", "bin", "n", *r6("mean_cov"))
+
+
+@query("SELECT sample_id, CAST(LEAST(floor(beta * 50 / 100.0), 49) AS INT) AS bin, COUNT(*) AS n, ROUND(COUNT(*) * 0.5 / SUM(COUNT(*)) OVER (PARTITION BY sample_id), 6) AS density FROM calls GROUP BY sample_id, 2")
+def beta_hist(spark, sf):
+    return qc.methylation_distribution(testdata.cohort(spark, sf), "hist").select("sample_id", "bin", "n", *r6("density"))
+
+
+@query("SELECT sample_id, COUNT(*) AS n, ROUND(AVG(beta), 6) AS mean, ROUND(MIN(beta), 6) AS q0, ROUND(quantile_cont(beta, 0.25), 6) AS q25, ROUND(MEDIAN(beta), 6) AS q50, ROUND(quantile_cont(beta, 0.75), 6) AS q75, ROUND(MAX(beta), 6) AS q100 FROM calls GROUP BY sample_id")
+def beta_quantiles(spark, sf):
+    return qc.methylation_distribution(testdata.cohort(spark, sf), "box").select("sample_id", "n", *r6("mean", "q0", "q25", "q50", "q75", "q100"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
