@@ -6,9 +6,10 @@ result over sqrt(D), and the stored correction is <c, Po>. For a query q the val
 sqrt((1 - <c,Po>^2) / <c,Po>^2 / (D - 1)).
 
 Candidates. Bits of the codes of several rotations are read in bands; vectors that share
-a band are compared. The number of bands follows from the recall that is asked for at
-the threshold, the bits per band from the number of vectors, so that buckets stay small.
-Inside a candidate task every pair is estimated from codes; pairs whose upper bound
+a band are compared by their stored codes. The number of bands follows from the recall that
+is asked for at the threshold, the bits per band from the number of vectors, so that
+buckets stay small. What the codes leave open is compared again in groups. There
+ a candidate task every pair is estimated from codes; pairs whose upper bound
 (eps standard errors) reaches the threshold are computed exactly in double precision,
 and only the exact value decides.
 
@@ -23,12 +24,15 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from methylake.llm.common import Workspace, join64, map_batches
 from methylake.llm.groups import links, members
 
+#: Buckets of up to so many vectors are compared pair by pair on their codes; in larger ones each vector is tied to the least one.
+MANY = 128
 OK = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 
 
@@ -83,6 +87,24 @@ def close(vectors: list[np.ndarray], threshold: float, eps: float, seed: int) ->
     return out
 
 
+def code_edges(pdf: pd.DataFrame, threshold: float, eps: float) -> pd.DataFrame:
+    """Edges inside buckets between vectors whose codes differ in no more bits than a pair at the threshold does (plus eps deviations)."""
+    pdf = pdf.sort_values(["band", "tid"])
+    band, tid, code = (pdf[c].to_numpy() for c in ("band", "tid", "code"))
+    width = np.minimum(pdf["dim"].to_numpy(), 64)
+    p = math.acos(min(1.0, threshold)) / math.pi
+    most = width * p + eps * np.sqrt(width * p * (1 - p))
+    out = []
+    for lag in range(1, len(band)):
+        same = np.flatnonzero(band[lag:] == band[:-lag])
+        if not len(same):
+            break
+        ok = same[np.bitwise_count((code[same] ^ code[same + lag]).view(np.uint64)) <= most[same]]
+        out.append(np.stack((tid[ok], tid[ok + lag]), 1))
+    edges = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+    return pd.DataFrame(edges, columns=["a", "b"])
+
+
 def near(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, eps: float = 4.0, seed: int = 3) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id (least id reachable), kept."""
     ws = Workspace(vectors.sparkSession, "embed")
@@ -97,22 +119,29 @@ def near(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, eps
         lists = b.column(1)
         n = lists.value_lengths().to_numpy()
         flat = lists.flatten().to_numpy()
-        tid, at, ids, out = b.column(0).to_numpy(), np.cumsum(n) - n, [], []
+        tid, at, ids, out, codes = b.column(0).to_numpy(), np.cumsum(n) - n, [], [], []
         for dim in np.unique(n):
             own = np.flatnonzero(n == dim)
             x = flat[at[own][:, None] + np.arange(dim)]
             x = x / np.abs(x).max(1, keepdims=True)
             ids.append(np.repeat(tid[own], count))
             out.append(bands(x, bits, count, seed).ravel())
-        return {"tid": np.concatenate(ids), "band": np.concatenate(out).view(np.int64)}
-
-    keys = ws.put(map_batches(cls.select("tid", "embedding"), sign, "tid bigint, band bigint"), "bands")
-    least = ws.put(keys.groupBy("band").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("band", "a"), "least")
-    stars = keys.join(least, "band").select("a", F.col("tid").alias("b")).where("a <> b")
-    cand = members(ws, stars, "e")
+            bit = x @ rotation(int(dim), 0, seed).T[:, :64] > 0
+            codes.append(np.repeat((bit * (np.uint64(1) << np.arange(bit.shape[1], dtype=np.uint64))).sum(1, dtype=np.uint64), count))
+        return {"tid": np.concatenate(ids), "band": np.concatenate(out).view(np.int64), "code": np.concatenate(codes).view(np.int64), "dim": np.repeat(np.concatenate([n[n == d] for d in np.unique(n)]), count).astype(np.int32)}
+
+    keys = ws.put(map_batches(cls.select("tid", "embedding"), sign, "tid bigint, band bigint, code bigint, dim int"), "bands")
+    least = ws.put(keys.groupBy("band").agg(F.min("tid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
+    shared = ws.put(keys.join(least, "band"), "shared")
+    stars = shared.where(F.col("n") > MANY).select("a", F.col("tid").alias("b")).where("a <> b")
+    few = shared.where(F.col("n") <= MANY)
+    bins = max(1, math.ceil(few.count() / 20_000))
+    grouped = few.select("band", "tid", "code", "dim", F.pmod(F.xxhash64("band"), F.lit(bins)).alias("bin")).groupBy("bin")
+    pairs = grouped.applyInPandas(lambda pdf: code_edges(pdf, threshold, eps), "a bigint, b bigint")
+    cand = members(ws, ws.put(stars.unionByName(pairs).distinct(), "edges"), "e")
     full = cls.select("tid", "copies", "embedding").join(cand, "tid")
     found = ws.put(links(ws, full, "embedding", lambda s: close(s, threshold, eps, seed), "e"), "found")
-    ws.drop("bands")
+    ws.drop("bands", "shared", "least")
     info = cls.select("tid", "class_id", "copies").join(found, "tid", "left").select("tid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "tid").alias("root"))
     info = ws.put(info, "info")
     low = ws.put(info.groupBy("root").agg(F.min("class_id").alias("component_id")), "low")
