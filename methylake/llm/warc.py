@@ -33,6 +33,8 @@ END = "\r\n\r\n"
 #: The base-32 alphabet and the revisit profile of the format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Places of up to so many bytes go to the archives' tasks; beyond, archives and places are shuffled by file.
+BROADCAST = 64 << 20
 ENTRY = "key string, page_id bigint, file string, at bigint, size bigint"
 
 
@@ -43,11 +45,15 @@ def digest32(payload) -> F.Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """Column value: the text of each page's record without its end."""
+def records(ws: Workspace, pages: DataFrame) -> DataFrame:
+    """Column value: the text of each page's record without its end.
+
+    Payloads that occur once need no partner: only repeated ones are looked up, in a table
+    of their own whose known size lets Spark broadcast it while it is small.
+    """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.sha2("html", 256))
     first = p.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    p = p.join(first, "key", "left")
+    p = p.join(ws.put(first, "repeated"), "key", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
     block = F.when(F.col("again"), F.col("http")).otherwise(F.concat("http", "html"))
@@ -70,8 +76,8 @@ def records(pages: DataFrame) -> DataFrame:
     return p.select(F.concat(head, "block").alias("value"))
 
 
-def write(pages: DataFrame, path: str, per_file: int = 1000) -> None:
-    records(pages).write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+def write(ws: Workspace, pages: DataFrame, path: str, per_file: int = 1000) -> None:
+    records(ws, pages).write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
@@ -181,7 +187,9 @@ def read_all(spark: SparkSession, blocks: DataFrame, path: str) -> DataFrame:
         names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
         return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
 
-    both = archives(spark, path).join(places.withColumnRenamed("file", "path"), "path")
+    places = places.withColumnRenamed("file", "path")
+    small = blocks.agg(F.sum("n")).first()[0] or 0
+    both = archives(spark, path).join(F.broadcast(places) if small * 24 <= BROADCAST else places, "path")
     return map_batches(both.select("content", "spots"), fetch, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint", 1 << 26)
 
 
@@ -215,7 +223,7 @@ def round_trip(pages: DataFrame, per_file: int = 1000) -> DataFrame:
     """Writes pages, indexes the archives and reads every record back through the index."""
     ws = Workspace(pages.sparkSession, "warc")
     path = ws.path("archives")
-    write(pages, path, per_file)
+    write(ws, pages, path, per_file)
     ws.free()
     blocks, _ = index(ws, path)
     return read_all(pages.sparkSession, blocks, path)
