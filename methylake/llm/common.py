@@ -133,6 +133,15 @@ def distinct_texts(ws: Workspace, docs: DataFrame, whole: bool = False) -> DataF
     return got.drop("clash")
 
 
+def packed(columns) -> F.Column:
+    """Some columns as one struct, out of the way of the names that an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None).cast("int")
+
+
+def unpacked(name: str, columns) -> list:
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
 def text_id(key, salt: int = 0):
     return F.xxhash64(key, F.lit(salt))
 

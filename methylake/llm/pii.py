@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import Workspace, content_key
+from methylake.llm.common import Workspace, content_key, packed, unpacked
 
 #: The four kinds in order, with their patterns (possessive; entered at a run's start or at the end of the last match).
 KINDS = {
@@ -104,9 +104,9 @@ def _checked(kind: str) -> Column:
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One pass over the texts: kept columns, key, base spans and identifier-like words."""
-    d = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return with_spans(d.withColumn("key", content_key())).select(*keep, "key", "base", "words")
+    """One pass over the texts: keep (a struct of the kept columns), key, base spans and identifier-like words."""
+    d = docs.select(packed(keep).alias("keep"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return with_spans(d.withColumn("key", content_key())).select("keep", "key", "base", "words")
 
 
 def discover(ws: Workspace, scanned: DataFrame, rounds: int = 3, min_conf: float = 0.8, min_support: int = 3) -> DataFrame:
@@ -164,11 +164,11 @@ def extract(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **how) -> Data
     ws = Workspace(docs.sparkSession, "pii")
     scanned = ws.put(scan(docs, keep), "scanned")
     added = discover(ws, scanned, **how)
-    d = scanned.select(*keep, "key", plain(F.col("base")).alias("base")).join(added, "key", "left")
+    d = scanned.select("keep", "key", plain(F.col("base")).alias("base")).join(added, "key", "left")
     more = F.coalesce("added", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"))
     every = F.array_sort(F.array_union("base", plain(more)))
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(NAMES)]
-    return d.select(*keep, *counts, F.sha2(_spell(F.col("base")), 256).alias("base_sha256"), _spell(every).alias("spans"), F.size(more).alias("n_added"))
+    return d.select(*unpacked("keep", keep), *counts, F.sha2(_spell(F.col("base")), 256).alias("base_sha256"), _spell(every).alias("spans"), F.size(more).alias("n_added"))
 
 
 def redact(docs: DataFrame, **how) -> DataFrame:
@@ -178,8 +178,8 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "pii")
     added = ws.put(discover(ws, ws.put(scan(docs, ()), "scanned"), **how), "added").select(F.col("key").alias("__key"), F.col("added").alias("__added"))
-    keyed = docs.withColumnRenamed("text", "__text").select("*", F.coalesce("__text", F.lit("")).alias("text")).withColumn("__key", content_key())
-    d = with_spans(keyed.select(*keyed.columns), words=False).join(added, "__key", "left")
+    keyed = docs.select(packed(docs.columns).alias("__row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("__key", content_key())
+    d = with_spans(keyed, words=False).join(added, "__key", "left")
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
     d = d.withColumn("__all", F.array_sort(F.concat(plain(F.col("base")), plain(F.coalesce("__added", none)))))
     names = F.array(*map(F.lit, NAMES))
@@ -190,5 +190,5 @@ def redact(docs: DataFrame, **how) -> DataFrame:
 
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos"))
     new = F.aggregate("__all", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
-    text = F.when(F.size("__all") > 0, new).otherwise(F.col("__text"))
-    return d.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    text = F.when(F.size("__all") > 0, new).otherwise(F.col("__row.text"))
+    return d.select(*(text.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

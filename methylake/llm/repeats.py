@@ -252,7 +252,7 @@ def removed(cover: np.ndarray, n: int, copies: int, length: int) -> np.ndarray:
 
 def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tuple[str, ...] = ("doc_id",), tag: str = "repeats") -> DataFrame:
     """docs' kept columns with what render(text, mask) -> dict gives for each text; schema without the kept columns."""
-    from methylake.llm.common import content_key, distinct_texts, text_id
+    from methylake.llm.common import content_key, distinct_texts, packed, text_id, unpacked
 
     ws = Workspace(docs.sparkSession, tag)
     texts = distinct_texts(ws, docs)
@@ -270,5 +270,5 @@ def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tupl
     done = ws.put(map_batches(texts.join(cover, "tid", "left"), finish, f"tid bigint, {schema}", BATCH), "done")
     ws.drop("doubled", "counted", "groups", "contexts", "windows", "twice", "again", "doubt", "flanks", "shared", f"texts{ws.salt}")
     ws.free()
-    keyed = docs.select(*keep, text_id(content_key(), ws.salt).alias("tid"))
-    return keyed.join(done, "tid").drop("tid")
+    keyed = docs.select(packed(keep).alias("keep"), text_id(content_key(), ws.salt).alias("tid"))
+    return keyed.join(done, "tid").select(*unpacked("keep", keep), *[c for c in done.columns if c != "tid"])

@@ -134,7 +134,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
     n = labels.count()
     few = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(min(1.0, max_rows / max(n, 1)) * (1 << 20)))
     few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.join(F.broadcast(few), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
 
 
 def auc(scores: np.ndarray, truth: np.ndarray) -> float:
