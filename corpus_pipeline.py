@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methylake.llm import bpe, decontam, jaccard_join, langid, pii
-from methylake.llm.common import Workspace
+from methylake.llm.common import Workspace, packed
 
 #: A text of this many characters whose best cosine stays below MIN_SCORE is in none of the languages.
 MIN_CHARS, MIN_SCORE = 40, 0.15
@@ -23,10 +23,10 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts in no known language; fills lang where it is null. Needs no labels for other rows."""
     protos = langid.train(docs)
-    rest = tuple(c for c in docs.columns if c != "text")
-    told = langid.predict(docs.withColumn("__t", F.col("text")), protos, keep=(*rest, "__t")).withColumnRenamed("__t", "text")
-    kept = told.where((F.col("lang_pred") != "und") & ~((F.char_length("text") >= MIN_CHARS) & (F.col("score") < MIN_SCORE)))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = langid.predict(docs.select(packed(docs.columns).alias("row"), "text"), protos, keep=("row",))
+    foreign = (F.char_length("row.text") >= MIN_CHARS) & (F.col("score") < MIN_SCORE)
+    kept = told.where((F.col("lang_pred") != "und") & ~foreign)
+    return kept.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.scan(docs, bench, keep=tuple(c for c in docs.columns if c != "text"))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    found = decontam.scan(docs.select(packed(rest).alias("rest"), "text"), bench, keep=("rest",)).where(F.size("items") == 0)
+    return found.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
