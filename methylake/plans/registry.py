@@ -58,6 +58,25 @@ def locus_encode_decode(spark, sf):
     return s.select("*", schema.locus_chr(F.col("locus_id")).alias("back_chr"), schema.locus_start(F.col("locus_id")).alias("back_start"))
 
 
+@query("""SELECT chr, "start", ROW_NUMBER() OVER (ORDER BY CAST(substr(chr, 4) AS INT), "start") - 1 AS locus_ix FROM sites""")
+def locus_ordinal(spark, sf):
+    return schema.ordinal(testdata.cohort(spark, sf).sites).select("chr", "start", "locus_ix")
+
+
+@query("""SELECT chr, "start", "end", "start" // 1000 AS tier FROM sites EXCEPT SELECT s.chr, s."start", s."end", s."start" // 1000 FROM sites s JOIN features f ON s.chr = f.chr AND s."start" >= f."start" AND s."start" < f."end" """)
+def loci_outside_features(spark, sf):
+    s = testdata.cohort(spark, sf).sites.select(*KEY)
+    inside = intervals.contained(s, intervals.regions(spark, testdata.features(spark, sf)))
+    return s.join(inside, KEY, "left_anti").withColumn("tier", F.expr("start div 1000"))
+
+
+@query("""SELECT CAST(COUNT(*) AS BIGINT) AS n_common FROM (SELECT chr, "start" FROM calls WHERE sample_id = 's0' INTERSECT SELECT chr, "start" FROM calls WHERE sample_id = 's1')""")
+def loci_intersect(spark, sf):
+    c = testdata.calls(spark, sf)
+    key = lambda s: c.where(F.col("sample_id") == s).select("chr", "start")
+    return key("s0").intersect(key("s1")).agg(F.count(F.lit(1)).alias("n_common"))
+
+
 @query("""SELECT chr, CAST(COUNT(*) AS BIGINT) AS n_sites, CAST(DENSE_RANK() OVER (ORDER BY CAST(substr(chr, 4) AS INT)) - 1 AS INT) AS code FROM sites GROUP BY chr""")
 def chromosome_codes(spark, sf):
     from pyspark.sql import Window
@@ -377,6 +396,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dmr.merge_dmrs(dmc, min_sites=1).select(*KEY, "n_cpgs", *r6("mean_diff", "min_qvalue"), "direction")
 
 
+@query(_FLAG + "SELECT COUNT(*) AS n_tested, COUNT(*) FILTER (WHERE q < 0.05) AS n_significant, COUNT(*) FILTER (WHERE q < 0.05 AND diff > 0) AS n_hyper, COUNT(*) FILTER (WHERE q < 0.05 AND diff < 0) AS n_hypo FROM corrected")
+def significance_counts(spark, sf):
+    return stats.significance(stats.calculate_diff_meth(testdata.cohort(spark, sf), test="fisher", method="exact"))
+
+
+@query(_EXACT + f"SELECT {K}, strand, context FROM calls GROUP BY ALL HAVING SUM(coverage) >= 200", bare=False)
+def pooled_coverage_filter(spark, sf):
+    c = testdata.calls(spark, sf)
+    return c.groupBy(*KEY, "strand", "context").agg(F.sum("coverage").alias("n")).where("n >= 200").drop("n")
+
+
 # --- quality control -----------------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ A cell without a row in calls means coverage 0, methylated 0, beta NULL. Coordin
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ["chr", "start", "end"]
@@ -44,3 +45,12 @@ def locus_start(locus: Column) -> Column:
 def percent(methylated: Column, coverage: Column) -> Column:
     """100 * methylated / coverage; NULL without coverage."""
     return F.try_divide(methylated * F.lit(100.0), coverage)
+
+
+def ordinal(sites: DataFrame, name: str = "locus_ix") -> DataFrame:
+    """sites with their place 0..n-1 in genomic order: numbered per chromosome, moved by the sizes of the chromosomes before (a row each, broadcast)."""
+    order = W.partitionBy("chr").orderBy("start", "end")
+    sizes = sites.groupBy("chr").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.orderBy(chr_ord(), "chr").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("chr", F.coalesce(before, F.lit(0)).alias("__before"))
+    return sites.join(F.broadcast(offsets), "chr").withColumn(name, F.row_number().over(order) - 1 + F.col("__before")).drop("__before")
