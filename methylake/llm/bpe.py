@@ -18,16 +18,17 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from methylake.llm.common import map_batches
+from methylake.llm.common import map_batches, on_release
 
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 INF = np.int64(2**62)
 LONG = 256
-CACHE = 250_000
+CACHE = 120_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -40,7 +41,8 @@ def byte_alphabet() -> dict[int, str]:
 class Codec:
     """Encoder and decoder of one tokenizers file (byte-level BPE)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.most = cache
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
         alpha = byte_alphabet()
@@ -62,6 +64,7 @@ class Codec:
         self.gap = regex.compile(r"\s\s")
         self.cache: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
 
     # --- merging -------------------------------------------------------------
 
@@ -196,32 +199,32 @@ class Codec:
 
     def fill(self, wanted: set[str]) -> None:
         """Encodes the chunks that neither generation of the cache has."""
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.older, self.cache = self.cache, {}
+        if len(self.pieces) > 2 * self.most:
+            self.pieces.clear()
         new = []
-        for c in wanted - self.cache.keys():
+        for c in wanted:
+            if c in self.cache:
+                continue
             if (got := self.older.get(c)) is None:
                 new.append(c)
             else:
                 self.cache[c] = got
-        pieces: list[bytes] = []
-        index: dict[str, int] = {}
-        plan = []
-        for c in new:
-            if c in self.special:
-                plan.append(None)
-                continue
-            own = []
-            for p in self.split.findall(c):
-                if p not in index:
-                    index[p] = len(pieces)
-                    pieces.append(p.encode("utf-8", "surrogatepass"))
-                own.append(index[p])
-            plan.append(own)
-        ids = self.merge(pieces)
+        find, known = self.split.findall, self.pieces
+        plan = [None if c in self.special else find(c) for c in new]
+        fresh = list({p for own in plan if own for p in own if p not in known})
+        token = self.token_bytes.__getitem__
+        for p, ids in zip(fresh, self.merge([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True):
+            known[p] = ",".join(map(str, ids)), b"".join(map(token, ids))
         for c, own in zip(new, plan, strict=True):
-            seq = [self.special[c]] if own is None else [t for p in own for t in ids[p]]
-            self.cache[c] = ",".join(map(str, seq)), b"".join(map(self.token_bytes.__getitem__, seq))
+            if own is None:
+                self.cache[c] = str(self.special[c]), token(self.special[c])
+            elif len(own) == 1:
+                self.cache[c] = known[own[0]]
+            else:
+                parts = [known[p] for p in own]
+                self.cache[c] = ",".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
 
     def encode(self, text: str | None) -> list[int]:
         c = self.chunks(text or "")
@@ -232,9 +235,12 @@ class Codec:
         return b"".join(self.token_bytes[i] for i in ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+@lru_cache(maxsize=1)
+def codec(path: str, cache: int = CACHE) -> Codec:
+    return Codec(path, cache)
+
+
+on_release(__name__, codec.cache_clear)
 
 
 def encode_table(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -242,11 +248,16 @@ def encode_table(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(b):
-        c = codec(path)
-        ids = [c.encode(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-        return {k: b.column(b.schema.get_field_index(k)) for k in keep} | {"ids": ids, "decoded": [c.decode(i) for i in ids]}
+        c = codec(path, CACHE // 4)  # beside the ids there is less room
+        split = [c.chunks(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+        c.fill({x for s in split for x in s})
+        got = [[c.cache[x] for x in s] for s in split]
+        flat = [np.fromstring(",".join([g[0] for g in s]), np.int32, sep=",") if s else np.empty(0, np.int32) for s in got]
+        ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+        return {k: b.column(b.schema.get_field_index(k)) for k in keep} | {"ids": ids, "decoded": [b"".join([g[1] for g in s]).decode("utf-8", "replace") for s in got]}
 
-    return map_batches(docs.select(*keep, "text"), run, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", ids array<int>, decoded string", 1 << 20)
+    return map_batches(docs.select(*keep, "text"), run, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", ids array<int>, decoded string", 2 << 20)
 
 
 def digest_table(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -267,4 +278,4 @@ def digest_table(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
             dec.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
         return {k: b.column(b.schema.get_field_index(k)) for k in keep} | {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": dec}
 
-    return map_batches(docs.select(*keep, "text"), run, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string", 2 << 20)
+    return map_batches(docs.select(*keep, "text"), run, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string", 4 << 20)

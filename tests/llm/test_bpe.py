@@ -46,9 +46,8 @@ def test_tables(docs, corpus, empty, clashing, official):
     assert bpe.digest_table(empty, PATH).count() == 0
 
 
-def test_cache_generations(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
-    c, whole = bpe.Codec(PATH), bpe.Codec(PATH)
+def test_cache_generations():
+    c, whole = bpe.Codec(PATH, 5), bpe.Codec(PATH)
     for k in range(20):
         t = f"word{k} again word{k // 2} the"
         assert c.encode(t) == whole.encode(t)
