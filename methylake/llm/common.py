@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -71,15 +73,43 @@ def text_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) ->
             yield b.slice(i, step)
 
 
+#: Rows of an Arrow batch; long texts are cut further by bytes.
+ROWS = 1000
+_release: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def on_release(module: str, clear: Callable[[], None]) -> None:
+    """Registers how a module's caches are emptied."""
+    _release[module] = clear
+
+
+def claim(module: str) -> None:
+    """Python workers are reused: when another operator takes one over, the caches of the last one go, and their memory with them."""
+    global _owner
+    if module == _owner:
+        return
+    for name, clear in _release.items():
+        if name != module:
+            clear()
+    if _owner:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _owner = module
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, max_bytes: int = 4 << 20) -> DataFrame:
     """mapInArrow over byte-bounded slices; fn returns a dict of column -> values (None: no rows)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)  # bounds what the JVM and Python hold at once
     names = _parse_datatype_string(schema)
     target = to_arrow_schema(names)
 
     def run(it):
+        claim(fn.__module__)
         for b in text_batches(it, max_bytes):
             out = fn(b)
             if out is None:
@@ -170,4 +200,6 @@ def components(ws: Workspace, edges: DataFrame, tag: str = "cc", max_rounds: int
         if tuple(now) == sign and now[0] == now[2]:
             break
         sign = tuple(now)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

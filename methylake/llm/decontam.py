@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import map_batches
+from methylake.llm.common import map_batches, on_release
 
 STEP, WIDE = 8, 4
 FOREIGN = 0.7
@@ -66,6 +66,9 @@ def _load(blob: bytes) -> Model:
     return pickle.loads(blob)
 
 
+on_release(__name__, _load.cache_clear)
+
+
 def lookup(texts: list, vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     words = [terms(t) for t in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))

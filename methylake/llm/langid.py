@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import map_batches, mix64
+from methylake.llm.common import map_batches, mix64, on_release
 
 DIM = 1024
 #: Training rows at most (taken by a hash of the text), the documented bound of the fit.
@@ -32,6 +32,9 @@ def letter(code: int, dim: int, seed: int) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8)).astype(np.int8) * 2 - 1
 
 
+on_release(__name__, letter.cache_clear)
+
+
 def trigram_vectors(codes: np.ndarray, dim: int, seed: int) -> np.ndarray:
     """Rows of +-1 for trigram codes (three 21-bit code points)."""
     parts = [(codes >> np.uint64(s)) & np.uint64(0x1FFFFF) for s in (42, 21, 0)]

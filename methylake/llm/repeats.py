@@ -32,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import Workspace, join64, map_batches, mix64
+from methylake.llm.common import Workspace, join64, map_batches, mix64, on_release
 
 BATCH = 1 << 20
 _words: dict[bytes, int] = {}
+on_release(__name__, _words.clear)
 
 
 @dataclass(frozen=True)

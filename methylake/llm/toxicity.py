@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import content_key, map_batches
+from methylake.llm.common import content_key, map_batches, on_release
 
 #: Labelled rows at most in the fit (by a hash of the text), the documented bound.
 MAX_ROWS = 20_000
@@ -73,6 +73,9 @@ def pair(ordinary: bytes, toxic: bytes) -> Pair:
     return Pair(ordinary, toxic)
 
 
+on_release(__name__, pair.cache_clear)
+
+
 def isotonic(hist: dict[int, tuple[int, int]]) -> list[tuple[int, float]]:
     """Steps (from level, chance of label 1), never falling, by pooling neighbours; smoothed by half a case per step."""
     pools: list[list[float]] = []
