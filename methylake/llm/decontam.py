@@ -9,10 +9,15 @@
 3. Every document is read as overlapping passages. A passage is a candidate for an item if
    the cosine of their latent vectors is high, the passage's length being at least its
    whole TF-IDF length times the share that the item keeps in latent space (words that the
-   benchmark lacks count in it).
+   benchmark lacks count in it, with the median weight of the benchmark's words, so that
+   the gate doesn't move with the number of documents).
 4. The words around a candidate are compared with the item: the longest common subsequence
    must hold `share` of the item, or `low` of it with `share` of its answer (what follows a
    question mark or "answer:", else its last quarter).
+5. Items that retrieval didn't find whole in a text are looked for by a bound that loses nothing:
+   a common subsequence is no longer than the number of the item's words that the text has,
+   so where these are enough, every window of the text that has enough of them (from the
+   item's length before a word block to its length behind a passage) is compared as in 4.
 
 Items are taken in blocks of `block`, so the broadcast tables are bounded whatever the
 benchmark's size; each block is one pass without a shuffle. Null and empty texts and
@@ -34,7 +39,6 @@ from pyspark.sql import functions as F
 from methylake.llm.common import map_batches, on_release
 
 STEP, WIDE = 8, 4
-FOREIGN = 0.7
 _BLANK = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
@@ -59,6 +63,10 @@ class Model:
     kept: np.ndarray  # share of the item passage's length in latent space
     owner: np.ndarray  # item of each passage
     items: list[tuple[int, list[bytes], int]]  # id, words, place of the answer
+    first: np.ndarray  # where each term's run in `holds` starts, and the end
+    holds: np.ndarray  # items that hold the term, as often as they hold it
+    nth: np.ndarray  # which occurrence in the item that is
+    bags: list[tuple[np.ndarray, np.ndarray]]  # each item's terms, and how often it has them
 
 
 @lru_cache(maxsize=2)
@@ -149,7 +157,7 @@ def fit(docs: DataFrame, benchmark: list[tuple[int, str]], rank: int = 64, seed:
     own = spark.createDataFrame([(t,) for _, t in benchmark if t], "text string")
     right = factors(own, vocab, idf, rank, seed)
     emb = np.vstack((right * idf[:, None], np.zeros(right.shape[1]))).astype(np.float32)
-    mass = np.append(idf, FOREIGN * np.log(n + 1)) ** 2
+    mass = np.append(idf, np.median(idf)) ** 2
     queries, kept, owner = [], [], []
     for k, (_, ws, _) in enumerate(items):
         parts = max(1, round(len(ws) / (STEP * WIDE * 1.5)))
@@ -158,9 +166,15 @@ def fit(docs: DataFrame, benchmark: list[tuple[int, str]], rank: int = 64, seed:
             length = float(np.linalg.norm(v))
             if length > 0:
                 queries.append(v / length), kept.append(length / np.sqrt(mass[p].sum())), owner.append(k)
-    if not queries:
-        return None
-    return Model(vocab, emb, mass.astype(np.float32), np.stack(queries), np.minimum(np.array(kept, np.float32), 1), np.array(owner), items)
+    bags = [np.unique([vocab[w] for w in ws], return_counts=True) for _, ws, _ in items]
+    times = np.concatenate([c for _, c in bags])
+    term = np.repeat(np.concatenate([u for u, _ in bags]), times)
+    item = np.repeat(np.arange(len(items), dtype=np.int32), [len(ws) for _, ws, _ in items])
+    nth = 1 + np.arange(len(term)) - np.repeat(np.cumsum(times) - times, times)
+    order = np.argsort(term, kind="stable")
+    first = np.append(0, np.cumsum(np.bincount(term, minlength=len(vocab))))
+    query = np.stack(queries) if queries else np.zeros((0, emb.shape[1]), np.float32)
+    return Model(vocab, emb, mass.astype(np.float32), query, np.minimum(np.array(kept, np.float32), 1), np.array(owner, np.int64), items, first, item[order], nth[order], bags)
 
 
 def lcs(item: list[bytes], words: list[bytes]) -> int:
@@ -178,13 +192,12 @@ def lcs(item: list[bytes], words: list[bytes]) -> int:
     return len(item) - row.bit_count()
 
 
-def find(m: Model, texts: list, cosine: float, share: float, low: float) -> list[dict[int, float]]:
-    """For each text the items found in it, with the share of their words."""
-    idx, lens, words = lookup(texts, m.vocab)
-    out: list[dict[int, float]] = [{} for _ in texts]
+def near_latent(m: Model, idx: np.ndarray, lens: np.ndarray, cosine: float) -> dict[tuple[int, int], list[int]]:
+    """(text, item) -> places of the passages that are near the item in latent space."""
     starts, text, lo, hi = passages(lens)
-    if not len(starts):
-        return out
+    spots: dict[tuple[int, int], list[int]] = {}
+    if not len(starts) or not len(m.query):
+        return spots
     sums = np.vstack((np.zeros(m.emb.shape[1], np.float32), np.add.reduceat(m.emb[idx], starts, axis=0)))
     np.cumsum(sums, axis=0, out=sums)
     mass = np.concatenate(([0.0], np.cumsum(np.add.reduceat(m.mass[idx].astype(np.float64), starts))))
@@ -194,24 +207,96 @@ def find(m: Model, texts: list, cosine: float, share: float, low: float) -> list
     near = x @ m.query.T
     maybe = np.flatnonzero(near.max(1) >= cosine * np.maximum(length, whole * m.kept.min()))
     if not len(maybe):
-        return out
+        return spots
     ok = near[maybe] >= cosine * np.maximum(length[maybe, None], whole[maybe, None] * m.kept[None, :])
     begin = np.cumsum(lens) - lens
-    spots: dict[tuple[int, int], list[int]] = {}
     for a, q in zip(*np.nonzero(ok), strict=True):
         p = maybe[a]
         spots.setdefault((int(text[p]), int(m.owner[q])), []).append(int(starts[lo[p]] - begin[text[p]]))
-    for (t, k), places in spots.items():
+    return spots
+
+
+def enough_words(m: Model, idx: np.ndarray, lens: np.ndarray, least: float, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, segments, items) where a segment has words for `least` of the item. Segments are two spans long and start at each, so every window of a span is in the one where it starts."""
+    n, q = len(m.vocab), len(m.items)
+    cells = -(-lens // span)
+    text, first = np.repeat(np.arange(len(lens)), cells), np.cumsum(cells) - cells
+    seg = (np.arange(len(idx)) - np.repeat(np.cumsum(lens) - lens, lens)) // span
+    row = np.repeat(first, lens) + seg
+    known = idx >= 0
+    both = known & (seg > 0)
+    key, times = np.unique(np.append((row * n + idx)[known], ((row - 1) * n + idx)[both]), return_counts=True)
+    row, term = key // n, key % n
+    size = m.first[term + 1] - m.first[term]
+    at = np.repeat(m.first[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    ok = m.nth[at] <= np.repeat(times, size)
+    has = np.bincount((np.repeat(row, size) * q + m.holds[at])[ok], minlength=len(text) * q).reshape(len(text), q)
+    row, item = np.nonzero(has >= least * np.array([len(ws) for _, ws, _ in m.items]) - 1e-9)
+    return text[row], row - first[text[row]], item
+
+
+def windows(own: np.ndarray, code: np.ndarray, times: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of the windows around the word blocks that start at `at`, those that have words for `least` of an item, as ranges of own; equal ones once.
+
+    own, code: places and numbers of the text's words that the item has; times: how often
+    the item has each. A repeated word counts as often as the item has it, at most.
+    """
+    size = int(times.sum())
+    need = least * size - 1e-9
+    lo, hi = np.searchsorted(own, at - size), np.searchsorted(own, at + STEP * WIDE + size)
+    ok = hi - lo >= need
+    lo, hi = lo[ok], hi[ok]
+    if not len(lo):
+        return []
+    counts = np.zeros((len(own) + 1, len(times)), np.int32)
+    counts[np.arange(1, len(counts)), code] = 1
+    np.cumsum(counts, axis=0, out=counts)
+    ok = np.minimum(counts[hi] - counts[lo], times).sum(1) >= need
+    return sorted(set(zip(lo[ok].tolist(), hi[ok].tolist(), strict=True)))
+
+
+def find(m: Model, texts: list, cosine: float, share: float, low: float) -> list[dict[int, float]]:
+    """For each text the items found in it, with the share of their words."""
+    idx, lens, words = lookup(texts, m.vocab)
+    out: list[dict[int, float]] = [{} for _ in texts]
+    if not len(idx):
+        return out
+
+    def compare(t: int, k: int, near: list) -> None:
         name, item, cut = m.items[k]
-        end = -1
+        n = lcs(item, near) / len(item)
+        if n >= share or n >= low and lcs(item[cut:], near) >= share * (len(item) - cut):
+            out[t][name] = max(n, out[t].get(name, 0.0))
+
+    for (t, k), places in near_latent(m, idx, lens, cosine).items():
+        size, end = len(m.items[k][1]), -1
         for at in sorted(set(places)):
             if at + STEP * WIDE <= end:
                 continue
-            first, end = max(0, at - len(item)), at + STEP * WIDE + len(item)
-            near_words = words[t][first:end]
-            n = lcs(item, near_words) / len(item)
-            if n >= share or n >= low and lcs(item[cut:], near_words) >= share * (len(item) - cut):
-                out[t][name] = max(n, out[t].get(name, 0.0))
+            first, end = max(0, at - size), at + STEP * WIDE + size
+            compare(t, k, words[t][first:end])
+    begin = np.cumsum(lens) - lens
+    least = min(share, low)
+    number = np.full(len(m.vocab) + 1, -1)
+    span = STEP * WIDE + 2 * max(len(ws) for _, ws, _ in m.items)
+    span += -span % STEP
+    for t, j, k in zip(*map(np.ndarray.tolist, enough_words(m, idx, lens, least, span)), strict=True):
+        name, item, _ = m.items[k]
+        if out[t].get(name, 0.0) >= 1:
+            continue
+        ids, times = m.bags[k]
+        number[ids] = np.arange(len(ids))
+        start, stop = j * span, min((j + 2) * span, int(lens[t]))
+        code = number[idx[begin[t] + start : begin[t] + stop]]
+        number[ids] = -1
+        own = np.flatnonzero(code >= 0)
+        # the windows that start in the segment's first half; the text's first ones are cut by its start
+        at = np.arange(start + len(item) + -len(item) % STEP if j else 0, min(start + span + len(item), int(lens[t])), STEP)
+        spans = windows(own, code[own], times, at - start, least)
+        if spans:
+            near = [words[t][start + p] for p in own.tolist()]
+            for lo, hi in spans:
+                compare(t, k, near[lo:hi])
     return out
 
 

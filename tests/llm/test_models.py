@@ -106,6 +106,38 @@ def test_decontamination_edges(leaks, docs, empty, clashing):
     assert decontam.scan(clashing, bench).count() == docs.count()
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_decontamination_at_scale(spark, monkeypatch, scale):
+    """Items are found whatever the number of documents, their words' shares being the same, as by brute force over all windows."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(common) if rng.random() < 0.5 else f"r{k}x{j}" for j in range(15 + k))) for k in range(20)]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(common) if rng.random() < 0.3 else f"f{i}y{j}" for j in range(60)]
+        if i % 2 == 0:
+            item = items[i % 20][1].split()
+            words[11 + i % 40 : 11 + i % 40] = item[: len(item) - i % 5]
+        rows.append((i, " ".join(words)))
+    count = decontam.frequencies
+    monkeypatch.setattr(decontam, "frequencies", lambda d, v: tuple(x * scale for x in count(d, v)))
+    found = decontam.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+
+    def brute(text, item):
+        w, n, best = decontam.terms(text), len(item), 0.0
+        cut = decontam.answer_at("", n)
+        for at in range(0, len(w), decontam.STEP):
+            near = w[max(0, at - n) : at + decontam.STEP * decontam.WIDE + n]
+            got = decontam.lcs(item, near) / n
+            if got >= 0.8 or got >= 0.6 and decontam.lcs(item[cut:], near) >= 0.8 * (n - cut):
+                best = max(best, got)
+        return best
+
+    want = {i: {k: s for k, item in items if (s := brute(t, decontam.terms(item)))} for i, t in rows}
+    assert {r.doc_id: dict(zip(r["items"], r["shares"], strict=True)) for r in found} == want
+    assert sum(map(len, want.values())) >= 80
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
