@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from methylake.llm import decontam, langid, toxicity
+from methylake.llm import decontam, langid, queries, toxicity
 
 
 def test_language_held_out(spark, sf):
@@ -64,9 +64,59 @@ def test_toxicity(spark):
     assert 0 < toxicity.sample(df, df.select("doc_id", "toxic"), 100).count() < 300
 
 
-def test_isotonic():
-    steps = toxicity.isotonic({0: (100, 5), 1: (10, 0), 2: (10, 6), 3: (10, 4), 4: (10, 10)})
-    assert [s for s, _ in steps] == [0, 2, 4] and [p for _, p in steps] == sorted(p for _, p in steps)
+def test_toxicity_held_out(spark):
+    """Held-out labels of a larger table: in every language, stems are caught whatever their endings."""
+    sf = "/root/testdata/sf0.1"
+    out = queries.op5_toxicity(spark, sf).where("held_out")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = out.join(docs, "doc_id").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    assert toxicity.auc(np.array([r.score for r in rows]), np.array([r.toxic for r in rows])) >= 0.9
+    assert np.mean([r.predicted for r in rows if not r.toxic]) <= 0.03
+    for lang in ("de", "en", "es", "fr"):
+        assert np.mean([r.predicted for r in rows if r.toxic and r.lang == lang]) >= 0.6
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+@pytest.fixture(scope="module")
+def stems():
+    """Toxic texts hold words with one of two stems and any ending; ordinary ones don't."""
+    rng = random.Random(9)
+    part = ["an", "ber", "ti", "ko", "lu", "sen", "dra", "mo", "fi", "gel"]
+    word = lambda: "".join(rng.choice(part) for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for i in range(900):
+        w = [word() for _ in range(80)]
+        if i % 6 == 0:
+            for _ in range(5):
+                w[rng.randrange(80)] = rng.choice(["zwirbq", "plomxu"]) + word()
+        rows.append((i, " ".join(w), int(i % 6 == 0)))
+    return rows
+
+
+def test_toxicity_stems_and_edges(spark, stems, empty, clashing):
+    df = spark.createDataFrame(stems, "doc_id long, text string, toxic int")
+    twice = df.where("doc_id < 600").select("text", "toxic")
+    model = toxicity.fit(twice.union(twice))
+    assert model == toxicity.fit(twice)  # copies count once
+    rest = [(i, t, y) for i, t, y in stems if i >= 600]
+    long = " ".join(t for _, t, y in stems if not y)
+    odd = [(9000, long, 0), (9001, long + " zwirbqan" * 300, 0), (9002, rest[0][1], 0), (9002, rest[0][1], 0)]
+    out = toxicity.score(spark.createDataFrame(rest + odd, "doc_id long, text string, toxic int"), model).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == len(rest) + 4 and np.mean([by[i].predicted == y for i, _, y in rest]) >= 0.99
+    assert (by[9000].predicted, by[9001].predicted) == (0, 1)
+    assert len({r.score for r in out if r.doc_id in (9002, rest[0][0])}) == 1  # repeated texts tie
+    assert toxicity.score(empty, model).count() == 0
+    extra = clashing.withColumns({c: F.lit(1) for c in ("score", "predicted", "features", "toxic", "piece", "code")})
+    assert toxicity.score(extra, model).count() == clashing.count()
+    assert toxicity.fit(df.where("toxic = 0").select("text", "toxic")) is None
+    assert toxicity.fit(df.where("doc_id < 60").select("text", F.expr("cast(doc_id % 2 as int)").alias("toxic"))) is None  # nothing tells the labels apart
+
+
+def test_gain_needs_shared_bytes():
+    p = toxicity.pair(b" sen ber ti ko lu dra", b" zwirbq", np.unique(toxicity.grams(b" zwirbq")).tobytes())
+    assert p.features([None, "", "12 !", "sen ber ti"]).tolist() == [[0.0] * 4] * 4
+    assert (p.features(["sen ber zwirbq ti ko zwirbqan lu"])[0] > 0).any()
 
 
 @pytest.fixture(scope="module")
