@@ -19,18 +19,22 @@ class Workspace:
     """Scratch tables in the folder that ``spark.checkpoint.dir`` names.
 
     A table written here cuts the lineage: a lost executor costs a re-read, not a
-    recomputation. Where the setting is absent (tests on one machine) a folder is made.
-    Everything is removed when the driver's JVM ends; :meth:`drop` removes a table earlier.
+    recomputation. Where the setting is absent a folder is made in local mode (tests); on a
+    cluster that is an error, as executors would write where others cannot read. Everything
+    is removed when the driver's JVM ends; :meth:`drop` removes a table earlier.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.methylake.scratch", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="methylake-")
             spark.conf.set("spark.methylake.scratch", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
         self._fs().deleteOnExit(self._path(self.root))
+        self.tables: dict[str, str] = {}
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -46,13 +50,21 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def put_bucketed(self, df: DataFrame, name: str, col: str) -> DataFrame:
-        """Writes df in buckets of col, as many as shuffle partitions: later joins on col don't shuffle it."""
+    def put_bucketed(self, df: DataFrame, name: str, col: str, mode: str = "overwrite") -> DataFrame:
+        """Writes df in buckets of col, as many as shuffle partitions: later joins on col don't shuffle it.
+
+        The catalog's entry is a temporary one of this workspace; :meth:`drop` and :meth:`forget` remove it.
+        """
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        table = f"scratch_{self.root.rsplit('-', 1)[1]}_{name}"
-        df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(n, col).saveAsTable(table)
+        table = self.tables.setdefault(name, f"scratch_{self.root.rsplit('-', 1)[1]}_{name}")
+        df.write.mode(mode).format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(n, col).saveAsTable(table)
         return self.spark.table(table)
 
+    def forget(self) -> None:
+        """Takes this workspace's tables out of the session's catalog. Plans that were made from them still read their files."""
+        for name in list(self.tables):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+
     def free(self) -> None:
         """Lets Spark remove the shuffle files of finished steps now, not at the driver's next full collection."""
         gc.collect()
@@ -60,6 +72,8 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         for n in names:
+            if n in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(n)}")
             self._fs().delete(self._path(self.path(n)), True)
 
 
@@ -144,25 +158,36 @@ def content_key(col: str = "text"):
 def distinct_texts(ws: Workspace, docs: DataFrame, whole: bool = False) -> DataFrame:
     """One row per different text: tid long, copies long, text string; in buckets of tid.
 
-    tid is a hash of the text's content. Should two different texts share one (that shows in
-    128 bits of their content), all are drawn anew with the next salt. Copies meet in partial
-    aggregates, so a hot group never lands in one task; the aggregate's partitions are the buckets.
-    whole adds row struct<o, c>: c the other columns of the copy that comes first by o (ids before nulls).
+    tid is a 63-bit hash of the text's content. Different texts that share one (that shows
+    in 128 bits of their content) get negative ids of their own instead, which nothing else
+    has; only those texts are read again. Copies meet in partial aggregates, so a hot group
+    never lands in one task; the aggregate's partitions are the buckets. whole adds row
+    struct<o, c>: c the other columns of the copy that comes first by o (ids before nulls).
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     row = [F.struct(F.struct(F.col("doc_id").isNull(), "doc_id").alias("o"), F.struct(*rest).alias("c")).alias("row")] if whole else []
-    d = docs.select(content_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *row)
-    for salt in range(64):
-        one = d.groupBy(text_id(F.col("key"), salt).alias("tid")).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), (F.min("key") != F.max("key")).alias("clash"), *[F.min("row").alias("row") for _ in row])
-        got = ws.put_bucketed(one, f"texts{salt}", "tid")
-        ws.free()
-        if got.where("clash").isEmpty():
-            break
-        ws.drop(f"texts{salt}")
-    ws.salt = salt
+    d = docs.select(content_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *row).withColumn("tid", text_id(F.col("key")))
+    parts = [F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), *[F.min("row").alias("row") for _ in row]]
+    one = d.groupBy("tid").agg(*parts, (F.min("key") != F.max("key")).alias("clash"))
+    got = ws.put_bucketed(one, "texts", "tid")
+    ws.clashes = None
+    if not (twice := got.where("clash").select("tid")).isEmpty():
+        own = d.join(ws.put(twice, "twice"), "tid", "left_semi").groupBy("key").agg(*parts)
+        own = ws.put(own.withColumn("tid", -1 - F.monotonically_increasing_id()), "apart")
+        ws.clashes = own.select("key", F.col("tid").alias("own"))
+        got = ws.put_bucketed(got.where("not clash").unionByName(own.drop("key").withColumn("clash", F.lit(False))), "texts_apart", "tid")
+    ws.free()
     return got.drop("clash")
 
 
+def with_tid(ws: Workspace, df: DataFrame) -> DataFrame:
+    """df with the tid of its key, as distinct_texts gave it."""
+    df = df.withColumn("tid", text_id(F.col("key")))
+    if ws.clashes is not None:
+        df = df.join(ws.clashes, "key", "left").withColumn("tid", F.coalesce("own", "tid")).drop("own")
+    return df.drop("key")
+
+
 def packed(columns) -> F.Column:
     """Some columns as one struct, out of the way of the names that an operator uses."""
     return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None).cast("int")
@@ -172,8 +197,8 @@ def unpacked(name: str, columns) -> list:
     return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
 
 
-def text_id(key, salt: int = 0):
-    return F.xxhash64(key, F.lit(salt))
+def text_id(key) -> F.Column:
+    return F.xxhash64(key).bitwiseAND((1 << 63) - 1)
 
 
 def components(ws: Workspace, edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -186,15 +211,16 @@ def components(ws: Workspace, edges: DataFrame, tag: str = "cc", max_rounds: int
     last, sign = f"{tag}0", None
     for k in range(1, max_rounds + 1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # tables of their own: only then can Spark split a hub's rows on the other side of the join
+        low = ws.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}low{k}")
         # large star: larger neighbours move to the least of the neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = ws.put(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{tag}large{k}")
         # small star: smaller neighbours and the node itself move to the least
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low2 = ws.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}least{k}")
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct()
         name = f"{tag}{k}"
         e = ws.put(small, name)
-        ws.drop(last)
+        ws.drop(last, f"{tag}low{k}", f"{tag}large{k}", f"{tag}least{k}")
         last = name
         now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.count_distinct("u")).first()
         if tuple(now) == sign and now[0] == now[2]:

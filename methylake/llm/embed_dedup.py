@@ -8,14 +8,14 @@ sqrt((1 - <c,Po>^2) / <c,Po>^2 / (D - 1)).
 Candidates. Bits of the codes of several rotations are read in bands; vectors that share
 a band are compared by their stored codes. The number of bands follows from the recall that
 is asked for at the threshold, the bits per band from the number of vectors, so that
-buckets stay small. What the codes leave open is compared again in groups. There
- a candidate task every pair is estimated from codes; pairs whose upper bound
+buckets stay small. What the codes leave open is compared again in groups, where every pair is estimated from codes; pairs whose upper bound
 (eps standard errors) reaches the threshold are computed exactly in double precision,
 and only the exact value decides.
 
 Vectors that are null, empty, zero, or hold null, NaN or infinite components link with
 nothing; so do vectors of different lengths. Equal vectors form a class and are compared
-once. Ids may repeat; extra columns and labels are ignored.
+once. Ids may repeat or be null; repeated rows link with each other; extra columns and labels
+are ignored.
 """
 
 from __future__ import annotations
@@ -109,10 +109,11 @@ def near(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, eps
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id (least id reachable), kept."""
     ws = Workspace(vectors.sparkSession, "embed")
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("ok", F.expr(OK))
-    v = v.withColumn("tid", F.when(F.col("ok"), F.xxhash64("embedding")))
-    keyed = ws.put(v, "vectors")
-    cls = keyed.where("ok").groupBy("tid", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("class_id"))
-    cls = ws.put(cls, "classes")
+    # a class is named by 128 bits of its vector, and numbered when the classes are written
+    keyed = v.select("vec_id", "ok", F.when(F.col("ok"), F.xxhash64("embedding")).alias("k1"), F.when(F.col("ok"), F.xxhash64(F.lit(seed), "embedding", F.lit(~seed))).alias("k2"), "embedding")
+    cls = keyed.where("ok").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("class_id"), F.first("embedding").alias("embedding"))
+    cls = ws.put(cls.withColumn("tid", F.monotonically_increasing_id()), "classes")
+    keyed = keyed.select("vec_id", "k1", "k2")
     bits, count = plan(cls.count(), threshold, recall)
 
     def sign(b):
@@ -142,10 +143,10 @@ def near(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, eps
     full = cls.select("tid", "copies", "embedding").join(cand, "tid")
     found = ws.put(links(ws, full, "embedding", lambda s: close(s, threshold, eps, seed), "e"), "found")
     ws.drop("bands", "shared", "least")
-    info = cls.select("tid", "class_id", "copies").join(found, "tid", "left").select("tid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "tid").alias("root"))
+    info = cls.select("tid", "k1", "k2", "class_id", "copies").join(found, "tid", "left").select("tid", "k1", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "tid").alias("root"))
     info = ws.put(info, "info")
     low = ws.put(info.groupBy("root").agg(F.min("class_id").alias("component_id")), "low")
-    info = ws.put(info.join(low, "root").select("tid", "n_links", "component_id"), "joined")
-    out = keyed.select("vec_id", "tid").join(info, "tid", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("tid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    info = ws.put(info.join(low, "root").select("k1", "k2", "n_links", "component_id"), "joined")
+    out = keyed.join(info, ["k1", "k2"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

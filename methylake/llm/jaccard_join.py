@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import Workspace, content_key, distinct_texts, join64, map_batches, mix64, text_id
+from methylake.llm.common import Workspace, content_key, distinct_texts, join64, map_batches, mix64, with_tid
 from methylake.llm.groups import links, members
 from methylake.llm.repeats import tokens
 
@@ -119,7 +119,7 @@ def join(docs: DataFrame, **how) -> DataFrame:
     ws = Workspace(docs.sparkSession, "jaccard")
     texts = distinct_texts(ws, docs)
     found = ws.put(link_texts(ws, texts, **how), "found")
-    keyed = docs.select("doc_id", text_id(content_key(), ws.salt).alias("tid"), F.expr(NO_WORDS).alias("void"))
+    keyed = with_tid(ws, docs.select("doc_id", content_key().alias("key"), F.expr(NO_WORDS).alias("void")))
     cls = keyed.where("not void").groupBy("tid").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     cls = ws.put(cls.join(found, "tid", "left").select("tid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "tid").alias("root")), "classes")
     low = ws.put(cls.groupBy("root").agg(F.min("class_id").alias("component_id")), "low")

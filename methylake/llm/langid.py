@@ -8,7 +8,8 @@ the highest cosine; the cosine, cut to 0..1, is its score.
 Case is folded and every run of other characters than letters counts as one blank, so a
 word's edges take part. Texts that are null or hold no letter get ``und`` and score 0.
 Ties go to the first language by name. Extra columns are ignored. Training needs at
-least one row with a language; without any, every text is ``und``.
+least one row with a language; without any, every text is ``und``. Copies count once in
+training, and repeated rows get equal rows.
 """
 
 from __future__ import annotations
@@ -86,12 +87,18 @@ def bundles(texts: list[str | None], dim: int, seed: int) -> np.ndarray:
     return out
 
 
+def share(most: int, n: int, bits: int = 60) -> int:
+    """Hashes of so many bits below this make about `most` of n rows; at least one hash, whatever n."""
+    return max(1, -(-(most << bits) // n))
+
+
 def train(docs: DataFrame, dim: int = DIM, seed: int = 7, max_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Prototypes by language from rows with text and lang. Only languages x dim sums come to the driver."""
     rows = docs.where("text is not null and lang is not null")
     n = rows.count()
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 60)) < share(max_rows, n))
+    rows = rows.select("text", "lang").distinct()  # a text that all its copies bring along counts once
 
     def run(b):
         texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()

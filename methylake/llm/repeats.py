@@ -35,6 +35,9 @@ from pyspark.sql import functions as F
 from methylake.llm.common import Workspace, join64, map_batches, mix64, on_release
 
 BATCH = 1 << 20
+#: Bits of each of the two distances packed with a place, and the largest distance.
+BITS = 16
+FIELD = (1 << BITS) - 1
 _words: dict[bytes, int] = {}
 on_release(__name__, _words.clear)
 
@@ -47,6 +50,12 @@ class Spec:
     length: int
     seed: int
 
+    def __post_init__(self):
+        if self.seed < 1 or self.length < 3 * self.seed:
+            raise ValueError(f"windows of {self.length} {self.kind} are too short")
+        if self.reach > FIELD:
+            raise ValueError(f"windows of {self.length} {self.kind} are too long")
+
     @property
     def reach(self) -> int:
         return self.length - 2 * self.seed + 1
@@ -120,12 +129,12 @@ def seeds(run: np.ndarray, lens: np.ndarray, spec: Spec) -> tuple[np.ndarray, ..
 
 
 def pack(a, lo, hi):
-    return a << 16 | (a - lo) << 8 | (a - hi)
+    return a << 2 * BITS | (a - lo) << BITS | (a - hi)
 
 
 def unpack(x):
-    a = x >> 16
-    return a, a - (x >> 8 & 255), a - (x & 255)
+    a = x >> 2 * BITS
+    return a, a - (x >> BITS & FIELD), a - (x & FIELD)
 
 
 def _fold(run: np.ndarray, at: list[np.ndarray], salt: int) -> np.ndarray:
@@ -178,7 +187,7 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
         end = hi + spec.length - spec.seed
         span = spec.length + spec.reach - 1
         ctx = _fold(run, [np.minimum(lo + j, end) for j in range(0, span, spec.seed)] + [end], 11)
-        ctx = join64(ctx, (place & 0xFFFF).astype(np.uint64))
+        ctx = join64(ctx, (place & (1 << 2 * BITS) - 1).astype(np.uint64))
         double = join64(run[a], run[a + spec.seed])
         return {"tid": _tids(b)[row], "place": place, "name": double.view(np.int64), "ctx": ctx.view(np.int64)}
 
@@ -227,16 +236,16 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
     shared = ws.put(flanks.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "shared")
     wide = flanks.join(shared, "name", "left_semi").groupBy("tid", "place").agg(F.max("side").alias("l"), F.min("side").alias("r"))
     step, most = spec.step, spec.reach - 1
-    far = F.least(F.shiftright("place", 8).bitwiseAND(255), F.greatest(F.coalesce("l", F.lit(0)), F.lit(0)) * step + (step - 1))
-    close = F.greatest(F.col("place").bitwiseAND(255), most + F.least(F.coalesce("r", F.lit(0)), F.lit(0)) * step - (step - 1))
+    far = F.least(F.shiftright("place", BITS).bitwiseAND(FIELD), F.greatest(F.coalesce("l", F.lit(0)), F.lit(0)) * step + (step - 1))
+    close = F.greatest(F.col("place").bitwiseAND(FIELD), most + F.least(F.coalesce("r", F.lit(0)), F.lit(0)) * step - (step - 1))
     doubt = doubt.join(wide, ["tid", "place"], "left").withColumns({"far": far, "close": close}).where("far >= close")
-    doubt = doubt.select("tid", F.expr("shiftleft(shiftright(place, 16), 16) | shiftleft(far, 8) | close").cast("long").alias("place"), "alone")
+    doubt = doubt.select("tid", F.expr(f"shiftleft(shiftright(place, {2 * BITS}), {2 * BITS}) | shiftleft(far, {BITS}) | close").cast("long").alias("place"), "alone")
     listed = doubt.groupBy("tid").agg(F.collect_list(F.struct("place", "alone")).alias("x")).select("tid", F.col("x.place").alias("places"), F.col("x.alone").alias("alone"))
     windows = ws.put(map_batches(texts.select("tid", "text").join(listed, "tid"), single, "tid bigint, p bigint, alone boolean, w1 bigint, w2 bigint", BATCH), "windows")
     again = ws.put(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "again")
     parts = windows.where("alone").join(again, ["w1", "w2"], "left_semi").select("tid", F.expr("shiftleft(p, 32) | p").alias("r"))
-    a = F.shiftright("place", 16)
-    first, last = a - (F.shiftright("place", 8).bitwiseAND(255)), a - F.col("place").bitwiseAND(255)
+    a = F.shiftright("place", 2 * BITS)
+    first, last = a - (F.shiftright("place", BITS).bitwiseAND(FIELD)), a - F.col("place").bitwiseAND(FIELD)
     cover = whole.select("tid", (F.shiftleft(first, 32).bitwiseOR(last)).alias("r")).unionByName(parts)
     return cover.groupBy("tid").agg(F.collect_list("r").alias("cover"))
 
@@ -253,7 +262,7 @@ def removed(cover: np.ndarray, n: int, copies: int, length: int) -> np.ndarray:
 
 def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tuple[str, ...] = ("doc_id",), tag: str = "repeats") -> DataFrame:
     """docs' kept columns with what render(text, mask) -> dict gives for each text; schema without the kept columns."""
-    from methylake.llm.common import content_key, distinct_texts, packed, text_id, unpacked
+    from methylake.llm.common import content_key, distinct_texts, packed, unpacked, with_tid
 
     ws = Workspace(docs.sparkSession, tag)
     texts = distinct_texts(ws, docs)
@@ -269,7 +278,7 @@ def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tupl
         return {"tid": b.column(at("tid"))} | {k: [x[k] for x in out] for k in out[0]}
 
     done = ws.put(map_batches(texts.join(cover, "tid", "left"), finish, f"tid bigint, {schema}", BATCH), "done")
-    ws.drop("doubled", "counted", "groups", "contexts", "windows", "twice", "again", "doubt", "flanks", "shared", f"texts{ws.salt}")
+    ws.drop("doubled", "counted", "groups", "contexts", "windows", "twice", "again", "doubt", "flanks", "shared", "texts", "texts_apart")
     ws.free()
-    keyed = docs.select(packed(keep).alias("keep"), text_id(content_key(), ws.salt).alias("tid"))
+    keyed = with_tid(ws, docs.select(packed(keep).alias("keep"), content_key().alias("key")))
     return keyed.join(done, "tid").select(*unpacked("keep", keep), *[c for c in done.columns if c != "tid"])

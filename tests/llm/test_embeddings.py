@@ -33,6 +33,14 @@ def test_brute_force(spark):
     assert embed_dedup.near(df.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows with one id or none are rows of their own; component ids ignore null ids while there are others."""
+    a, b = [1.0] + [0.0] * 31, [0.0] * 31 + [1.0]
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (3, [x * 2 for x in b]), (None, None)]
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embed_dedup.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == sorted([("1", 3, 1, True)] * 2 + [("2", 3, 1, False), ("None", 3, 1, False)] + [("3", 1, 3, True)] * 2 + [("None", 0, None, True)])
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(1)
     a = rng.standard_normal(64)

@@ -32,6 +32,18 @@ def test_language_edges(spark, docs, empty, clashing):
     assert langid.predict(empty, protos).count() == 0
 
 
+def test_language_ties_copies_and_shares(spark, clashing):
+    rows = [(i, t, k) for i, (t, k) in enumerate([("aaaa bbbb", "x"), ("cccc dddd", "y")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    protos = langid.train(df)
+    assert all((protos[k] == langid.train(df.limit(2))[k]).all() for k in ("x", "y"))  # copies count once
+    assert {r.lang_pred for r in langid.predict(df.select("doc_id", "text"), {"b": protos["x"], "a": protos["x"]}).collect()} == {"a"}  # ties go to the first name
+    assert set(langid.train(clashing)) == {"de", "en"}
+    # a share of the hashes, however many rows there are: never none
+    assert langid.share(20_000, 10**11) > 0 and langid.share(20_000, 10**30) == 1
+    assert abs(langid.share(20_000, 40_000) / 2**60 - 0.5) < 1e-9
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     v = langid.bundles(["ab"], 128, 7)[0]
     L = lambda c: langid.letter(ord(c) if c else 0, 128, 7).astype(int)

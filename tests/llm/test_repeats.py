@@ -4,8 +4,9 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from methylake.llm import substring_dedup, suffix_dedup
+from methylake.llm import common, substring_dedup, suffix_dedup
 
 
 def covered(tokens, length):
@@ -27,7 +28,7 @@ def ordered(rows, *names):
     return sorted((tuple(r[n] for n in names) for r in rows), key=lambda x: tuple((v is None, str(v)) for v in x))
 
 
-@pytest.mark.parametrize("length", [35, 12])
+@pytest.mark.parametrize("length", [35, 12, 4])
 def test_words(docs, corpus, length):
     tokens = [(t or "").encode().split() for _, t, *_ in corpus]
     want = []
@@ -38,7 +39,7 @@ def test_words(docs, corpus, length):
     assert ordered(substring_dedup.remove_repeated(docs, length).collect(), *names) == ordered(want, *names)
 
 
-@pytest.mark.parametrize("length", [200, 48])
+@pytest.mark.parametrize("length", [200, 48, 600, 5])
 def test_bytes(docs, corpus, length):
     tokens = [(t or "").encode() for _, t, *_ in corpus]
     want = []
@@ -56,3 +57,23 @@ def test_outputs_and_edges(docs, empty, clashing):
     for f in (substring_dedup.remove_repeated, suffix_dedup.remove_repeated):
         assert f(empty).count() == 0
         assert f(clashing).count() == docs.count()
+
+
+def test_lengths_out_of_range(docs):
+    for f, lengths in ((substring_dedup.remove_repeated, (0, 2, 200_000)), (suffix_dedup.remove_repeated, (0, 3, 200_000))):
+        for n in lengths:
+            with pytest.raises(ValueError, match="windows of"):
+                f(docs, n)
+
+
+@pytest.mark.parametrize("bits", [0, 7])
+def test_clashing_text_ids(docs, corpus, monkeypatch, bits):
+    """Different texts with the same hash get ids of their own."""
+    monkeypatch.setattr(common, "text_id", lambda key: F.xxhash64(key).bitwiseAND(bits))
+    ws = common.Workspace(docs.sparkSession, "clash")
+    texts = common.distinct_texts(ws, docs)
+    kinds = {t or "" for _, t, *_ in corpus}
+    assert texts.select("tid").distinct().count() == texts.count() == len(kinds)
+    named = common.with_tid(ws, docs.select("text", common.content_key().alias("key")))
+    assert named.join(texts.select("tid", F.col("text").alias("same")), "tid").where("coalesce(text, '') = same").count() == len(corpus)
+    test_words(docs, corpus, 35)
