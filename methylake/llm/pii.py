@@ -2,21 +2,29 @@
 
 1. Base spans: four fixed patterns (email, ip, card, phone), leftmost and non-overlapping
    per kind, with the checks of each kind; a match that fails its check is dropped.
-2. Every base value is a seed. Its surroundings induce lexical patterns: the two words
-   before it, and the word before it with the word after it (lower case, digits as 0).
-3. Identifier-like words (they hold a digit or an @) that touch no base span are the
-   unknown instances. Over the bipartite pattern-instance graph of different values,
-   pattern confidence and instance scores are recomputed in turns:
-   conf(p) = sum of the scores of its values / (number of its values + 1), and
-   score(v) = 1 - prod(1 - conf(p)), seeds staying at 1.
-4. Patterns with conf >= min_conf and min_support different seeds are trusted; unknown
-   instances in their slots become spans of the kind most of the pattern's seeds have.
+2. Instances are the base values and the identifier-like words (they hold a digit or an @)
+   that touch no base span. Seeds are the base values and, as a fifth kind, `secret`: words
+   of 32 hexadecimal digits or more, letters and digits among them. The rest is unknown.
+3. The surroundings of an instance induce lexical patterns: the word before it, the two
+   words before it, the word before it with the word after it (lower case, digits as 0; of
+   words over 64 characters the nearer 64), and its own form (digits as 0; with letters,
+   runs of either as one character).
+4. Over the bipartite pattern-instance graph of different values scores are computed in
+   turns: conf(p) = (known values + messages of the unknown ones) / (values + 1), where the
+   message of a value to a pattern is 1 - prod(1 - conf) over its other patterns, so that no
+   pattern speaks for itself.
+5. Patterns are trusted with min_support known values of one kind, which must be 0.8 of all
+   its known ones, and conf >= min_conf; forms, which are not ambiguous but less telling,
+   with ten and 0.4. Unknown values in their slots are known from then on, with that kind, and
+   the next round starts; it ends when a round finds nothing new, or after `rounds`.
+   Occurrences in trusted slots, and the secrets, become spans.
 
 Null texts count as empty; a text without spans has zero counts and empty strings.
-Repeated rows and copies get equal results; copies count once in the graph. Spans are
-in code points, end exclusive. Extra columns are ignored. Texts are read whole: the
-patterns are linear in the text (runs are entered only at their start or where the last
-match ended). Work grows with the square of the number of spans of one single text.
+Repeated rows and copies get equal results; copies count once in the graph. Ties go to the
+first kind. Spans are in code points, end exclusive. Extra columns are ignored. Texts are
+read whole: the patterns are linear in the text (runs are entered only at their start or
+where the last match ended). Work grows with the square of the number of spans of one
+single text.
 """
 
 from __future__ import annotations
@@ -37,6 +45,13 @@ KINDS = {
 HINTS = {"email": "text like '%@%'", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": "text rlike '[0-9][ -]?[0-9]'", "phone": "text like '%+%'"}
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*+"
 NAMES = list(KINDS)
+#: The kinds of seeds in order: the base ones, then those that only the graph has.
+SEEDS = [*NAMES, "secret"]
+SECRET = "^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
+#: A word's core: without quotes and punctuation around it.
+OPEN, CLOSE = r"^[\"'(<\[{]*+", r"[\"')>\]},.;:!?%#*&$|~]++$"
+#: Forms are trusted from so many known values and this confidence.
+FORM_SUPPORT, FORM_CONF = 10, 0.4
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string,left:string,right:string>"
 
 
@@ -89,10 +104,15 @@ def with_spans(d: DataFrame, words: bool = True) -> DataFrame:
 
 def _spans(n: str, code: int) -> Column:
     def one(h, i):
-        before, after, at = F.get(F.col(f"{n}p"), i), F.get(F.col(f"{n}p"), i + 1), F.get(F.col(f"{n}r"), i)
-        start = at + F.char_length(before)
-        left = _tidy(F.regexp_extract(F.right(before, F.lit(64)), r"(?:^|\s)(\S*\s*\S+)\s*$", 1))
-        right = _tidy(F.regexp_extract(F.left(after, F.lit(48)), r"^\S*\s+(\S+)", 1))
+        # the text around, over neighbouring matches: two matches and the pieces between hold two words at least
+        piece = lambda k: F.coalesce(F.get(F.col(f"{n}p"), i + k), F.lit(""))
+        hit = lambda k: F.coalesce(F.get(F.col(f"{n}h"), i + k), F.lit(""))
+        start = F.get(F.col(f"{n}r"), i) + F.char_length(piece(0))
+        tail, head = (lambda c: F.right(c, F.lit(130))), (lambda c: F.left(c, F.lit(130)))
+        before = tail(F.concat(tail(piece(-2)), tail(hit(-2)), tail(piece(-1)), tail(hit(-1)), tail(piece(0))))
+        after = head(F.concat(head(piece(1)), head(hit(1)), head(piece(2)), head(hit(2)), head(piece(3))))
+        left = _tidy(F.regexp_extract(before, r"(\S{1,64}(?:\s+\S{1,64})?)(?:\s+\S{0,8})?$", 1) if code >= 0 else F.regexp_extract(before, r"(\S{1,64}(?:\s+\S{1,64})?)\s*$", 1))
+        right = _tidy(F.regexp_extract(after, r"^\S*\s+(\S{1,64})", 1))
         end = F.get(F.col(f"{n}r"), i) + F.get(F.col(f"{n}l"), i)
         return F.struct(start.alias("start"), F.lit(code).alias("kind"), end.alias("end"), h.alias("value"), left.alias("left"), right.alias("right")).cast(SPAN)
 
@@ -109,8 +129,14 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return with_spans(d.withColumn("key", content_key())).select("keep", "key", "base", "words")
 
 
-def discover(ws: Workspace, scanned: DataFrame, rounds: int = 3, min_conf: float = 0.8, min_support: int = 3) -> DataFrame:
-    """Spans that trusted patterns add: (key, added array<struct<start, kind, end>>)."""
+def _form(value: Column) -> Column:
+    """The form of a value: digits as 0; with letters, runs of either as one character."""
+    runs = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "0"), r"\pL+", "a")
+    return F.when(value.rlike(r"\pL"), runs).otherwise(F.regexp_replace(value, "[0-9]", "0"))
+
+
+def occurrences(scanned: DataFrame) -> DataFrame:
+    """Instances in their slots: key, kind (-1: unknown), start, value, pattern."""
     from pyspark.sql import Window as W
 
     one = scanned.where("size(base) + size(words) > 0").groupBy("key").agg(F.first("base").alias("base"), F.first("words").alias("words"))
@@ -121,33 +147,60 @@ def discover(ws: Workspace, scanned: DataFrame, rounds: int = 3, min_conf: float
     after = F.min(F.when(F.col("kind") >= 0, F.col("start"))).over(back.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumns({"before": before, "after": after})
     rows = rows.where("kind >= 0 or (coalesce(before, 0) <= start and coalesce(after, end) >= end)")
-    # a word's core: without quotes and punctuation around it
-    core = r"^[\"'(<\[{]*+|[\"')>\]},.;:!?]++$"
-    lead = F.char_length(F.regexp_extract("value", r"^[\"'(<\[{]*+", 0))
-    word = F.regexp_replace("value", core, "")
-    rows = rows.select("key", "kind", F.when(F.col("kind") < 0, F.col("start") + lead).otherwise(F.col("start")).alias("start"), F.when(F.col("kind") < 0, word).otherwise(F.col("value")).alias("value"), "left", "right")
+    lead = F.char_length(F.regexp_extract("value", OPEN, 0))
+    core = F.regexp_replace(F.regexp_replace("value", OPEN, ""), CLOSE, "")
+    word = F.col("kind") < 0
+    rows = rows.select("key", "kind", F.when(word, F.col("start") + lead).otherwise(F.col("start")).alias("start"), F.when(word, core).otherwise(F.col("value")).alias("value"), "left", "right")
+    rows = rows.where("value <> ''").withColumn("kind", F.when((F.col("kind") < 0) & F.col("value").rlike(SECRET), len(NAMES)).otherwise(F.col("kind")))
     first = F.regexp_extract("left", r"(\S+)$", 1)
-    slots = F.array(F.when(F.col("left") != "", F.concat(F.lit("l "), "left")), F.when((F.col("left") != "") & (F.col("right") != ""), F.concat(F.lit("m "), first, F.lit(" "), "right")))
-    rows = rows.where("value <> ''").withColumn("pattern", F.explode(F.array_compact(slots)))
-    occ = ws.put(rows.select("key", "kind", "start", "value", "pattern"), "occurrences")
-
+    slots = F.array(
+        F.concat(F.lit("f "), _form(F.col("value"))),
+        F.when(first != "", F.concat(F.lit("w "), first)),
+        F.when(F.col("left").rlike(r"\S\s+\S"), F.concat(F.lit("l "), F.regexp_replace("left", r"\s+", " "))),
+        F.when((first != "") & (F.col("right") != ""), F.concat(F.lit("m "), first, F.lit(" "), "right")),
+    )
+    return rows.select("key", "kind", "start", "value", F.explode(F.array_compact(slots)).alias("pattern"))
+
+
+def confidence(ws: Workspace, edges: DataFrame, tag: str, turns: int = 2) -> DataFrame:
+    """pattern, conf, support and of (its known values of the commonest kind), pure (their share): for patterns with a known value."""
+    each = [F.sum((F.col("kind") == k).cast("long")) for k in range(len(SEEDS))]
+    base = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("by"))
+    base = base.select("pattern", "n", F.array_max("by").alias("support"), (F.array_position("by", F.array_max("by")) - 1).cast("int").alias("of"), F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x).alias("known"))
+    base = ws.put(base.where("known > 0"), f"{tag}base")
+    conf = base.select("pattern", (F.col("known") / (F.col("n") + 1)).alias("conf"))
+    unknown = edges.where("kind < 0").select("pattern", "value")
+    for t in range(turns):
+        sent = ws.put(unknown.join(conf, "pattern").select("pattern", "value", F.log1p(-F.least("conf", F.lit(0.999))).alias("l")), f"{tag}sent{t}")
+        total = ws.put(sent.groupBy("value").agg(F.sum("l").alias("all")), f"{tag}total{t}")
+        extra = ws.put(sent.join(total, "value").groupBy("pattern").agg(F.sum(1 - F.exp(F.col("all") - F.col("l"))).alias("extra")), f"{tag}extra{t}")
+        conf = ws.put(base.join(extra, "pattern", "left").select("pattern", ((F.col("known") + F.coalesce("extra", F.lit(0.0))) / (F.col("n") + 1)).alias("conf")), f"{tag}conf{t}")
+    return base.join(conf, "pattern").select("pattern", "conf", "support", "of", (F.col("support") / F.col("known")).alias("pure"))
+
+
+def discover(ws: Workspace, scanned: DataFrame, rounds: int = 5, min_conf: float = 0.8, min_support: int = 3) -> DataFrame:
+    """Spans that the secrets and the trusted patterns add: (key, added array<struct<start, kind, end>>)."""
+    occ = ws.put(occurrences(scanned), "occurrences")
     edges = ws.put(occ.groupBy("pattern", F.lower("value").alias("value")).agg(F.max("kind").alias("kind")), "edges")
-    score = edges.groupBy("value").agg(F.max("kind").alias("kind")).select("value", (F.col("kind") >= 0).cast("double").alias("score"))
+    form = F.col("pattern").startswith("f ")
+    enough = F.when(form, (F.col("support") >= FORM_SUPPORT) & (F.col("conf") >= FORM_CONF)).otherwise((F.col("support") >= min_support) & (F.col("conf") >= min_conf))
+    best = F.max_by("of", F.struct("conf", -F.col("of")))
     for k in range(rounds):
-        conf = edges.join(score, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("conf"))
-        conf = ws.put(conf, f"conf{k}")
+        trusted = ws.put(confidence(ws, edges, f"r{k}").where(enough & (F.col("pure") >= 0.8)).select("pattern", "of", "conf"), f"trusted{k}")
+        new = ws.put(edges.where("kind < 0").join(trusted, "pattern").groupBy("value").agg(best.alias("new")), f"new{k}")
+        if new.isEmpty():
+            break
         if k + 1 < rounds:
-            got = edges.join(conf, "pattern").groupBy("value").agg(F.max("kind").alias("kind"), (1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("s"))
-            score = got.select("value", F.when(F.col("kind") >= 0, 1.0).otherwise(F.col("s")).alias("score"))
-    kinds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern").agg(F.sum("n").alias("support"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("of"))
-    trusted = kinds.where(F.col("support") >= min_support).join(conf.where(F.col("conf") >= min_conf), "pattern").select("pattern", "of", "conf")
-    found = occ.where("kind < 0").join(trusted, "pattern").groupBy("key", "start", "value").agg(F.max_by("of", F.struct("conf", -F.col("of"))).alias("kind"))
+            edges = ws.put(edges.join(new, "value", "left").select("pattern", "value", F.when(F.col("kind") < 0, F.coalesce("new", "kind")).otherwise(F.col("kind")).alias("kind")), f"edges{k}")
+    place = F.struct("key", "start", "value")
+    found = occ.where("kind < 0").join(trusted, "pattern").groupBy(place.alias("p")).agg(best.alias("kind")).select("p.*", "kind")
+    found = found.unionByName(occ.where(F.col("kind") >= len(NAMES)).select("key", "start", "value", "kind").distinct())
     span = F.struct("start", "kind", (F.col("start") + F.char_length("value")).alias("end"))
     return found.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("added"))
 
 
 def _spell(spans: Column) -> Column:
-    names = F.array(*map(F.lit, NAMES))
+    names = F.array(*map(F.lit, SEEDS))
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, (s["kind"] + 1).cast("int")), s["start"].cast("string"), s["end"].cast("string"))))
 
 
@@ -182,7 +235,7 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     d = with_spans(keyed, words=False).join(added, "__key", "left")
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
     d = d.withColumn("__all", F.array_sort(F.concat(plain(F.col("base")), plain(F.coalesce("__added", none)))))
-    names = F.array(*map(F.lit, NAMES))
+    names = F.array(*map(F.lit, SEEDS))
 
     def step(acc, s):
         out = F.concat(acc["out"], F.substring(F.col("text"), (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), F.lit("["), F.upper(F.element_at(names, s["kind"] + 1)), F.lit("]"))
