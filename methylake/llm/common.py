@@ -35,6 +35,7 @@ class Workspace:
         self.root = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
         self._fs().deleteOnExit(self._path(self.root))
         self.tables: dict[str, str] = {}
+        self.names: set[str] = set()
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -47,6 +48,7 @@ class Workspace:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns it as read back."""
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -56,6 +58,7 @@ class Workspace:
         The catalog's entry is a temporary one of this workspace; :meth:`drop` and :meth:`forget` remove it.
         """
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names.add(name)
         table = self.tables.setdefault(name, f"scratch_{self.root.rsplit('-', 1)[1]}_{name}")
         df.write.mode(mode).format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(n, col).saveAsTable(table)
         return self.spark.table(table)
@@ -75,6 +78,11 @@ class Workspace:
             if n in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(n)}")
             self._fs().delete(self._path(self.path(n)), True)
+            self.names.discard(n)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Removes every table that a result still to be computed doesn't read."""
+        self.drop(*sorted(self.names - set(names)))
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,18 @@ kept AS (SELECT one.rid, COUNT(cov.p) AS n_removed, string_agg(x, ' ' ORDER BY o
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
 """
 
+REMOVED_BYTES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(COALESCE(text, '')) AS t FROM documents),
+win AS (SELECT rid, i, md5(hex(t[i:i + 199])) AS h FROM d, unnest(range(1, octet_length(t) - 198)) AS u(i)),
+rep AS (SELECT h FROM win GROUP BY h HAVING COUNT(*) > 1),
+hit AS (SELECT rid, i, LAG(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM win JOIN rep USING (h)),
+run AS (SELECT rid, i, SUM(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM hit),
+span AS (SELECT rid, k, MIN(i) AS lo, MAX(i) + 199 AS hi FROM run GROUP BY rid, k),
+gap AS (SELECT rid, hi, LEAD(lo, 1, 2000000000) OVER (PARTITION BY rid ORDER BY lo) AS nxt, lo, LAG(hi, 1, 0) OVER (PARTITION BY rid ORDER BY lo) AS prev FROM span),
+kept AS (SELECT gap.rid, COUNT(*) AS n_spans, SUM(hi - lo + 1) AS n_removed, string_agg(CASE WHEN lo > prev + 1 THEN hex(t[prev + 1:lo - 1]) ELSE '' END, '' ORDER BY lo) || COALESCE(hex(t[MAX(hi) + 1:]), '') AS x FROM gap JOIN d USING (rid) GROUP BY gap.rid, t)
+SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN kept.rid IS NULL THEN t ELSE unhex(x) END) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
 CAPTURES = """
 WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages), m AS (SELECT *, MIN(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,

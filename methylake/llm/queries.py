@@ -90,4 +90,4 @@ def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against brute force, round trips or held-out labels."""
     from methylake.llm import oracles
 
-    return {"op4_substring_dedup": oracles.REMOVED_WORDS, "op6_warc": oracles.CAPTURES, "op7_embedding_dedup": oracles.NEAR_VECTORS, "op9_jaccard_join": oracles.NEAR_TEXTS}
+    return {"op4_substring_dedup": oracles.REMOVED_WORDS, "op6_warc": oracles.CAPTURES, "op7_embedding_dedup": oracles.NEAR_VECTORS, "op9_jaccard_join": oracles.NEAR_TEXTS, "op10_suffix_dedup": oracles.REMOVED_BYTES}

@@ -163,8 +163,8 @@ def _tids(b) -> np.ndarray:
     return b.column(b.schema.get_field_index("tid")).to_numpy()
 
 
-def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
-    """Rows (tid, cover array<long>): windows starting in first..last repeat, packed as first << 32 | last."""
+def survivors(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
+    """Rows (tid, places array<long>): the seeds whose name occurs again, packed with the window starts that they stand for."""
 
     def find(b):
         t, lens = tokens(_texts(b), spec.kind)
@@ -176,7 +176,14 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
     # counts are tables of their own: only then can Spark split the other side of the join at a hot name
     twice = ws.put(found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "twice")
     level1 = ws.put(found.join(twice, "name", "left_semi").select("tid", "place"), "level1")
+    ws.drop("seeds", "twice")
     ws.free()
+    return level1.groupBy("tid").agg(F.collect_list("place").alias("places"))
+
+
+def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
+    """Rows (tid, cover array<long>): windows starting in first..last repeat, packed as first << 32 | last."""
+    grouped = survivors(ws, texts, spec)
 
     def extend(b):
         t, lens = tokens(_texts(b), spec.kind)
@@ -191,15 +198,28 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
         double = join64(run[a], run[a + spec.seed])
         return {"tid": _tids(b)[row], "place": place, "name": double.view(np.int64), "ctx": ctx.view(np.int64)}
 
-    grouped = level1.groupBy("tid").agg(F.collect_list("place").alias("places"))
     more = ws.put(map_batches(texts.select("tid", "text").join(grouped, "tid"), extend, "tid bigint, place bigint, name bigint, ctx bigint", BATCH), "doubled")
-    ws.drop("seeds", "level1")
+    ws.drop("level1")
     ctx = more.groupBy("name", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "place")).alias("one"))
     ctx = ws.put(ctx, "counted")
     groups = ctx.groupBy("name").agg(F.sum("n").alias("all"), F.max(F.col("n") == 1).alias("mixed"))
     ctx = ws.put(ctx.join(ws.put(groups.where("all > 1"), "groups"), "name"), "contexts")
     whole = more.join(ctx.where("n > 1").select("name", "ctx"), ["name", "ctx"], "left_semi").select("tid", "place")
 
+    doubt = ws.put(ctx.where("mixed").select("one.tid", "one.place", (F.col("n") == 1).alias("alone")), "doubt")
+    windows = doubtful(ws, texts, doubt, spec)
+    again = ws.put(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "again")
+    return covered(whole, windows.where("alone").join(again, ["w1", "w2"], "left_semi"))
+
+
+def two_names(run: np.ndarray, p: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the windows at p."""
+    return window_name(run, p, spec, 23), window_name(run, p, spec, 37)
+
+
+def doubtful(ws: Workspace, texts: DataFrame, doubt: DataFrame, spec: Spec, name: Callable = two_names) -> DataFrame:
+    """doubt (tid, place, alone): single windows (tid, p, alone, w1, w2) of those runs, as far as the runs' extensions to either side repeat."""
+
     def single(b):
         t, lens = tokens(_texts(b), spec.kind)
         run = names(t, spec.seed)
@@ -210,7 +230,8 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
         n = hi - lo + 1
         p = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         g = p + np.repeat(base, n)
-        return {"tid": np.repeat(_tids(b)[row], n), "p": p, "alone": np.repeat(alone.astype(bool), n), "w1": window_name(run, g, spec, 23).view(np.int64), "w2": window_name(run, g, spec, 37).view(np.int64)}
+        w1, w2 = name(run, g, spec)
+        return {"tid": np.repeat(_tids(b)[row], n), "p": p, "alone": np.repeat(alone.astype(bool), n), "w1": w1.view(np.int64), "w2": w2.view(np.int64)}
 
     def flank(b):
         t, lens = tokens(_texts(b), spec.kind)
@@ -230,7 +251,6 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
                     out[k].append(v)
         return {k: np.concatenate(v) for k, v in out.items()}
 
-    doubt = ws.put(ctx.where("mixed").select("one.tid", "one.place", (F.col("n") == 1).alias("alone")), "doubt")
     near = doubt.groupBy("tid").agg(F.collect_list("place").alias("places"))
     flanks = ws.put(map_batches(texts.select("tid", "text").join(near, "tid"), flank, "tid bigint, place bigint, side tinyint, name bigint", BATCH), "flanks")
     shared = ws.put(flanks.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "shared")
@@ -241,12 +261,14 @@ def repeated(ws: Workspace, texts: DataFrame, spec: Spec) -> DataFrame:
     doubt = doubt.join(wide, ["tid", "place"], "left").withColumns({"far": far, "close": close}).where("far >= close")
     doubt = doubt.select("tid", F.expr(f"shiftleft(shiftright(place, {2 * BITS}), {2 * BITS}) | shiftleft(far, {BITS}) | close").cast("long").alias("place"), "alone")
     listed = doubt.groupBy("tid").agg(F.collect_list(F.struct("place", "alone")).alias("x")).select("tid", F.col("x.place").alias("places"), F.col("x.alone").alias("alone"))
-    windows = ws.put(map_batches(texts.select("tid", "text").join(listed, "tid"), single, "tid bigint, p bigint, alone boolean, w1 bigint, w2 bigint", BATCH), "windows")
-    again = ws.put(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "again")
-    parts = windows.where("alone").join(again, ["w1", "w2"], "left_semi").select("tid", F.expr("shiftleft(p, 32) | p").alias("r"))
+    return ws.put(map_batches(texts.select("tid", "text").join(listed, "tid"), single, "tid bigint, p bigint, alone boolean, w1 bigint, w2 bigint", BATCH), "windows")
+
+
+def covered(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (tid, cover) of whole runs (tid, place) and single windows (tid, p)."""
     a = F.shiftright("place", 2 * BITS)
     first, last = a - (F.shiftright("place", BITS).bitwiseAND(FIELD)), a - F.col("place").bitwiseAND(FIELD)
-    cover = whole.select("tid", (F.shiftleft(first, 32).bitwiseOR(last)).alias("r")).unionByName(parts)
+    cover = whole.select("tid", (F.shiftleft(first, 32).bitwiseOR(last)).alias("r")).unionByName(parts.select("tid", F.expr("shiftleft(p, 32) | p").alias("r")))
     return cover.groupBy("tid").agg(F.collect_list("r").alias("cover"))
 
 
@@ -260,13 +282,13 @@ def removed(cover: np.ndarray, n: int, copies: int, length: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tuple[str, ...] = ("doc_id",), tag: str = "repeats") -> DataFrame:
+def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tuple[str, ...] = ("doc_id",), tag: str = "repeats", find: Callable = repeated) -> DataFrame:
     """docs' kept columns with what render(text, mask) -> dict gives for each text; schema without the kept columns."""
     from methylake.llm.common import content_key, distinct_texts, packed, unpacked, with_tid
 
     ws = Workspace(docs.sparkSession, tag)
     texts = distinct_texts(ws, docs)
-    cover = repeated(ws, texts, spec)
+    cover = find(ws, texts, spec)
 
     def finish(b):
         out = []
@@ -278,7 +300,7 @@ def sweep(docs: DataFrame, spec: Spec, render: Callable, schema: str, keep: tupl
         return {"tid": b.column(at("tid"))} | {k: [x[k] for x in out] for k in out[0]}
 
     done = ws.put(map_batches(texts.join(cover, "tid", "left"), finish, f"tid bigint, {schema}", BATCH), "done")
-    ws.drop("doubled", "counted", "groups", "contexts", "windows", "twice", "again", "doubt", "flanks", "shared", "texts", "texts_apart")
+    ws.drop_all_but("done", "apart")
     ws.free()
     keyed = with_tid(ws, docs.select(packed(keep).alias("keep"), content_key().alias("key")))
     return keyed.join(done, "tid").select(*unpacked("keep", keep), *[c for c in done.columns if c != "tid"])

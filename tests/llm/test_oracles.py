@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from methylake.llm import embed_dedup, jaccard_join, oracles, substring_dedup, warc
+from methylake.llm import embed_dedup, jaccard_join, oracles, substring_dedup, suffix_dedup, warc
 
 
 def same(df, con, sql):
@@ -24,6 +24,7 @@ def con(docs, tmp_path):
 
 def test_texts(docs, con):
     same(substring_dedup.remove_repeated(docs), con, oracles.REMOVED_WORDS)
+    same(suffix_dedup.remove_repeated(docs), con, oracles.REMOVED_BYTES)
     same(jaccard_join.join(docs.where("doc_id is not null")), con, oracles.NEAR_TEXTS.replace("FROM documents", "FROM documents WHERE doc_id IS NOT NULL"))
 
 

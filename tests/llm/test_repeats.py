@@ -1,6 +1,7 @@
 """op4 and op10 against brute force: every window of every text is counted."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -77,3 +78,22 @@ def test_clashing_text_ids(docs, corpus, monkeypatch, bits):
     named = common.with_tid(ws, docs.select("text", common.content_key().alias("key")))
     assert named.join(texts.select("tid", F.col("text").alias("same")), "tid").where("coalesce(text, '') = same").count() == len(corpus)
     test_words(docs, corpus, 35)
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_ranks_over_borders(spark, unique):
+    """Dense ranks of pairs, equal for equal pairs, whatever partitions they lie in; a hot pair lies in many."""
+    rng = random.Random(1)
+    keys = [(7, 7)] * 700 + [(rng.randrange(-9, 9), rng.randrange(9)) for _ in range(150)] + [(100 + i, 0) for i in range(50)] + [(5, -1)]
+    rows = [(a, b, i * 3, i, i % 2) for i, (a, b) in enumerate(keys)]
+    for part in (rows, rows[:1], rows[:2], [], rows[-30:]):
+        ws = common.Workspace(spark, "ranks")
+        pairs = ws.put(spark.createDataFrame(part, "a long, b long, tid long, at long, more long"), "pairs")
+        got = {r["at"]: r for r in suffix_dedup.ranked(ws, pairs, "ranks", unique).collect()}
+        times = Counter((a, b) for a, b, *_ in part)
+        assert {i for i, r in got.items() if r["rank"] is not None} == {i for a, b, _, i, _ in part if times[a, b] > 1}
+        assert len(got) == (len(part) if unique else sum(n for n in times.values() if n > 1))
+        order = sorted(times)
+        for a, b, tid, i, more in part:
+            if times[a, b] > 1:
+                assert (got[i]["rank"], got[i]["tid"], got[i]["more"]) == (order.index((a, b)), tid, more)
