@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,8 +88,17 @@ def tile_key(c: str = "chr", start: str = "start", end: str = "end"):
     return F.format_string("%s:%d-%d:*", F.col(c), F.col(start), F.col(end))
 
 
-def annotate_features(sites: DataFrame, bed: DataFrame, *, feature_col: str = "feature", name_col: str | int | None = None) -> DataFrame:
-    """sites with the label of the first BED row that overlaps (NULL if none): its name column (a 1-based number works), else chr:start-end."""
+def _bed(sites: DataFrame, source) -> DataFrame:
+    from methylake.sources.readers import read_bed
+
+    return read_bed(sites.sparkSession, source) if isinstance(source, str) else source
+
+
+def annotate_features(sites, bed, *, feature_col: str = "feature", name_col: str | int | None = None):
+    """A cohort, or its sites, with the label of the first BED row that overlaps (NULL if none): its name column (a 1-based number works), else chr:start-end. bed is a path or a table."""
+    if isinstance(sites, MethylFrame):
+        return replace(sites, sites=annotate_features(sites.sites, bed, feature_col=feature_col, name_col=name_col))
+    bed = _bed(sites, bed)
     name = f"column_{name_col}" if isinstance(name_col, int) else name_col
     label = F.col(name) if name else F.concat_ws("", "chr", F.lit(":"), "start", F.lit("-"), "end")
     if "bed_row" not in bed.columns:
@@ -97,8 +108,11 @@ def annotate_features(sites: DataFrame, bed: DataFrame, *, feature_col: str = "f
     return sites.drop(feature_col).join(first, KEY, "left")
 
 
-def annotate_cpg_islands(sites: DataFrame, islands: DataFrame, *, shore_distance: int = 2000, shelf_distance: int = 4000, region_col: str = "cpg_region") -> DataFrame:
-    """island, shore, shelf or open_sea: one overlap join with the widest flanks, the nearest tier wins."""
+def annotate_cpg_islands(sites, islands, *, shore_distance: int = 2000, shelf_distance: int = 4000, region_col: str = "cpg_region"):
+    """A cohort, or its sites, with island, shore, shelf or open_sea: one overlap join with the widest flanks, the nearest tier wins. islands is a path or a table."""
+    if isinstance(sites, MethylFrame):
+        return replace(sites, sites=annotate_cpg_islands(sites.sites, islands, shore_distance=shore_distance, shelf_distance=shelf_distance, region_col=region_col))
+    islands = _bed(sites, islands)
     wide = islands.select("chr", F.greatest(F.lit(0).cast("long"), F.col("start") - max(shore_distance, shelf_distance)).alias("start"), (F.col("end") + max(shore_distance, shelf_distance)).alias("end"), F.col("start").alias("s"), F.col("end").alias("e"))
 
     def hit(d: int):

@@ -11,7 +11,7 @@ from methylake.operators import dmr, intervals, qc, stats
 from methylake.operators.cohort import MethylFrame
 from methylake.plans import testdata
 from methylake.plans.testdata import CTE
-from methylake.sources import schema, sinks
+from methylake.sources import readers, schema, scratch, sinks
 
 KEY = ["chr", "start", "end"]
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,12 +46,6 @@ def calls_filter_coverage_scan(spark, sf):
     return c.select("sample_id", *KEY, "methylated", "coverage", *r6("beta"))
 
 
-@query("""SELECT sample_id, chr, "start" AS position, "start" - 1 AS "start", "start" AS "end", strand, methylated, coverage FROM calls WHERE context = 'CpG' AND "start" > 0""")
-def cx_coordinates(spark, sf):
-    c = testdata.calls(spark, sf).where("context = 'CpG' and start > 0").withColumnRenamed("start", "position")
-    return c.select("sample_id", "chr", "position", (F.col("position") - 1).alias("start"), F.col("position").alias("end"), "strand", "methylated", "coverage")
-
-
 @query("""SELECT chr, "start", CAST(CASE WHEN chr = 'chrX' THEN 23 ELSE CAST(substr(chr, 4) AS BIGINT) END * 10000000000 + "start" AS BIGINT) AS locus_id, chr AS back_chr, "start" AS back_start FROM sites""")
 def locus_encode_decode(spark, sf):
     s = testdata.cohort(spark, sf).sites.select("chr", "start", schema.locus_id().alias("locus_id"))
@@ -70,38 +64,15 @@ def loci_outside_features(spark, sf):
     return s.join(inside, KEY, "left_anti").withColumn("tier", F.expr("start div 1000"))
 
 
-@query("""SELECT CAST(COUNT(*) AS BIGINT) AS n_common FROM (SELECT chr, "start" FROM calls WHERE sample_id = 's0' INTERSECT SELECT chr, "start" FROM calls WHERE sample_id = 's1')""")
-def loci_intersect(spark, sf):
-    c = testdata.calls(spark, sf)
-    key = lambda s: c.where(F.col("sample_id") == s).select("chr", "start")
-    return key("s0").intersect(key("s1")).agg(F.count(F.lit(1)).alias("n_common"))
-
-
-@query("""SELECT chr, CAST(COUNT(*) AS BIGINT) AS n_sites, CAST(DENSE_RANK() OVER (ORDER BY CAST(substr(chr, 4) AS INT)) - 1 AS INT) AS code FROM sites GROUP BY chr""")
-def chromosome_codes(spark, sf):
-    from pyspark.sql import Window
-
-    n = testdata.cohort(spark, sf).sites.groupBy("chr").agg(F.count(F.lit(1)).alias("n_sites"))
-    return n.select("chr", "n_sites", (F.dense_rank().over(Window.orderBy(schema.chr_ord())) - 1).cast("int").alias("code"))
-
-
-@query(f"SELECT {K}, strand, context, CAST((SELECT COUNT(*) FROM calls c WHERE c.chr = s.chr AND c.\"start\" = s.\"start\") AS BIGINT) AS n_samples FROM sites s")
-def cohort_outer_loci(spark, sf):
-    m = testdata.cohort(spark, sf)
-    return m.calls.groupBy(*KEY).agg(F.min("strand").alias("strand"), F.min("context").alias("context"), F.count(F.lit(1)).alias("n_samples"))
-
-
 @query(f"SELECT {K}, strand, context FROM sites WHERE (chr, \"start\") IN (SELECT (chr, \"start\") FROM calls GROUP BY chr, \"start\" HAVING COUNT(*) = 6)")
 def cohort_inner_loci(spark, sf):
     return site_table(_built(spark, sf, "inner"))
 
 
 def _built(spark, sf, join_type):
-    from methylake.sources.readers import build_cohort
-
     c = testdata.calls(spark, sf)
     ids = [f"s{i}" for i in range(6)]
-    return build_cohort(spark, ids, [c.where(F.col("sample_id") == s).drop("sample_id") for s in ids], join_type=join_type)
+    return readers.build_cohort(spark, ids, [c.where(F.col("sample_id") == s).drop("sample_id") for s in ids], join_type=join_type)
 
 
 @query(f"SELECT s.sample_id, {', '.join('t.' + k for k in ('chr', chr(34) + 'start' + chr(34), chr(34) + 'end' + chr(34)))}, COALESCE(c.methylated, 0) AS methylated, COALESCE(c.coverage, 0) AS coverage, ROUND(c.beta, 6) AS beta FROM sites t CROSS JOIN (SELECT 's' || i AS sample_id FROM range(6) r(i)) s LEFT JOIN calls c ON c.sample_id = s.sample_id AND c.chr = t.chr AND c.\"start\" = t.\"start\"")
@@ -114,6 +85,112 @@ def layer_unmethylated(spark, sf):
     return testdata.cohort(spark, sf).unmethylated
 
 
+# --- files: written in scratch from the derived calls, read by the readers ----------------
+
+
+def _written(spark, sf, df, suffix: str, header: bool = False) -> dict[str, str]:
+    """A text file (folder) for each sample_id of df; paths by sample."""
+    path = scratch.folder(spark, "calls")
+    df.withColumn("file", F.concat("sample_id", F.lit(suffix))).drop("sample_id").write.partitionBy("file").csv(path, sep="\t", header=header, compression="gzip")
+    return {f"s{i}": f"{path}/file=s{i}{suffix}" for i in range(6)}
+
+
+def _read(paths: dict[str, str], read) -> DataFrame:
+    out = None
+    for s, p in paths.items():
+        own = read(p).withColumn("sample_id", F.lit(s))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _coverage_files(spark, sf, suffix: str = ".cov") -> dict[str, str]:
+    return _written(spark, sf, testdata.calls(spark, sf).select("sample_id", *KEY, "beta", "methylated", "unmethylated"), suffix)
+
+
+_READ = f"SELECT sample_id, {K}, methylated, coverage - methylated AS unmethylated, coverage, ROUND({{}}, 6) AS beta FROM calls c WHERE {{}}"
+_INSIDE = "EXISTS (SELECT 1 FROM features r WHERE r.chr = c.chr AND r.\"start\" <= c.\"start\" AND c.\"start\" < r.\"end\")"
+
+
+@query(_READ.format("beta", f"coverage BETWEEN 10 AND 100 AND {_INSIDE}"))
+def read_coverage_files(spark, sf):
+    out = _read(_coverage_files(spark, sf), lambda p: readers.read_bismark_coverage(spark, p, min_coverage=10, max_coverage=100, regions=testdata.features(spark, sf)))
+    return out.select("sample_id", *KEY, "methylated", "unmethylated", "coverage", *r6("beta"))
+
+
+@query(_READ.format("beta", "coverage >= 5 AND context = 'CpG'").replace("coverage, ROUND", "coverage, strand, context, ROUND"))
+def read_cx_files(spark, sf):
+    c = testdata.calls(spark, sf).select("sample_id", "chr", "end", "strand", "methylated", "unmethylated", "context", F.lit("CGA").alias("trinucleotide"))
+    out = _read(_written(spark, sf, c, ".CX_report.txt"), lambda p: readers.read_bismark_cx_report(spark, p, min_coverage=5))
+    return out.select("sample_id", *KEY, "methylated", "unmethylated", "coverage", "strand", "context", *r6("beta"))
+
+
+@query(f"SELECT sample_id, {K}, ROUND(CASE WHEN beta <= 1 THEN 100 * beta ELSE beta END, 6) AS beta FROM calls")
+def read_bedgraph_files(spark, sf):
+    c = testdata.calls(spark, sf).select("sample_id", *KEY, "beta")
+    return _read(_written(spark, sf, c, ".bedgraph"), lambda p: readers.read_bedgraph(spark, p)).select("sample_id", *KEY, *r6("beta"))
+
+
+@query(_READ.format("CASE WHEN beta <= 1 THEN 100 * beta ELSE beta END", "coverage BETWEEN 3 AND 150").replace("coverage, ROUND", "coverage, strand, context, CAST(qty AS VARCHAR) AS qty, ROUND").replace("FROM calls c", "FROM (SELECT *, coverage AS qty FROM calls) c"))
+def read_generic_files(spark, sf):
+    c = testdata.calls(spark, sf).select("sample_id", F.col("chr").alias("chrom"), F.col("start").alias("pos"), F.col("end").alias("stop"), F.col("methylated").alias("m"), F.col("coverage").alias("n"), F.col("strand").alias("dir"), F.col("context").alias("ctx"), F.col("coverage").alias("qty"))
+    how = {"chr_col": "chrom", "start_col": "pos", "end_col": "stop", "beta_col": None, "methylated_col": "m", "coverage_col": "n", "strand_col": "dir", "context_col": "ctx", "min_coverage": 3, "max_coverage": 150}
+    out = _read(_written(spark, sf, c, ".tsv", True), lambda p: readers.read_generic_methylation(spark, p, **how))
+    return out.select("sample_id", *KEY, "methylated", "unmethylated", "coverage", "strand", "context", "qty", *r6("beta"))
+
+
+def _bed(spark, df) -> str:
+    path = scratch.folder(spark, "bed")
+    df.coalesce(1).write.csv(path, sep="\t")
+    return path
+
+
+@query("SELECT chr, \"start\", \"end\", name AS column_4, CAST(CASE WHEN (SELECT COUNT(*) FROM features f WHERE f.\"start\" < 0 OR f.\"end\" < f.\"start\") = 0 THEN 1 ELSE 0 END AS INT) AS valid FROM features")
+def read_bed_files(spark, sf):
+    path = _bed(spark, testdata.features(spark, sf).select(*KEY, "name"))
+    intervals.validate(readers.read_bed_regions(spark, path))
+    return readers.read_bed(spark, path).select(*KEY, "column_4", F.lit(1).alias("valid"))
+
+
+@query("SELECT s.chr, s.\"start\", s.\"end\", (SELECT MIN_BY(f.name, f.bed_row) FROM features f WHERE s.chr = f.chr AND s.\"start\" < f.\"end\" AND s.\"end\" > f.\"start\") AS feature FROM sites s")
+def annotate_cohort_by_file(spark, sf):
+    path = _bed(spark, testdata.features(spark, sf).orderBy("bed_row").select(*KEY, "name"))
+    return intervals.annotate_features(testdata.cohort(spark, sf), path, name_col=4).sites.select(*KEY, "feature")
+
+
+def _sheet(spark, sf) -> str:
+    """A sample sheet of coverage files with metadata."""
+    path = scratch.folder(spark, "sheet")
+    lines = ["sample_id,path,group,age", *(f"{s},{p},{'control' if int(s[1]) % 2 == 0 else 'treated'},{30 + int(s[1])}" for s, p in _coverage_files(spark, sf).items())]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+_SHARED = "(chr, \"start\") IN (SELECT (chr, \"start\") FROM calls WHERE coverage >= 5 GROUP BY chr, \"start\" HAVING COUNT(*) = 6)"
+
+
+@query(f"SELECT sample_id, {K}, '*' AS strand, 'CpG' AS context, methylated, coverage, ROUND(beta, 6) AS beta, grp AS \"group\", CAST(30 + CAST(substr(sample_id, 2) AS INT) AS VARCHAR) AS age FROM calls WHERE coverage >= 5")
+def sheet_outer_cohort(spark, sf):
+    m = readers.read_samples(spark, _sheet(spark, sf), min_coverage=5)
+    return m.calls.join(m.samples, "sample_id").select("sample_id", *KEY, "strand", "context", "methylated", "coverage", *r6("beta"), "group", "age")
+
+
+@query(f"SELECT sample_id, {K}, methylated, coverage, ROUND(beta, 6) AS beta FROM calls WHERE coverage >= 5 AND {_SHARED}")
+def sheet_inner_stored(spark, sf):
+    m = readers.read_samples(spark, _sheet(spark, sf), min_coverage=5, join_type="inner", output="parquet", out_path=scratch.folder(spark, "store"), validate_output=True)
+    return m.calls.select("sample_id", *KEY, "methylated", "coverage", *r6("beta"))
+
+
+@query("""SELECT chr, "start", "end", '*' AS strand, 'CpG' AS context, ROW_NUMBER() OVER (ORDER BY CAST(substr(chr, 4) AS INT), "start") - 1 AS locus_id FROM (SELECT DISTINCT chr, "start", "end" FROM calls WHERE coverage BETWEEN 5 AND 200)""")
+def sheet_streaming_loci(spark, sf):
+    return readers.read_samples_streaming(spark, _sheet(spark, sf), min_coverage=5, max_coverage=200).sites.select(*KEY, "strand", "context", "locus_id")
+
+
+@query(f"SELECT {K}, strand, context, CAST((SELECT COUNT(*) FROM calls c WHERE c.chr = s.chr AND c.\"start\" = s.\"start\") AS BIGINT) AS n_samples FROM sites s")
+def cohort_outer_loci(spark, sf):
+    m = _built(spark, sf, "outer")
+    return m.sites.join(m.calls.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_samples")), KEY).select(*KEY, "strand", "context", "n_samples")
+
+
 # --- intervals -----------------------------------------------------------------------
 
 _MERGED = """, marked AS (SELECT *, CASE WHEN "start" > MAX("end") OVER (PARTITION BY chr ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS brk FROM features),
@@ -267,18 +344,75 @@ def fisher_exact_two_sided(spark, sf):
     return stats.fisher_exact_test(testdata.cohort(spark, sf), "group", "control", "treated", "exact").select(*KEY, *r6("pvalue"))
 
 
-@query(""", v AS (SELECT *, log2((methylated + 0.5) / (coverage - methylated + 0.5)) AS m FROM calls WHERE coverage > 0),
+_FITS = """, v AS (SELECT *, log2((methylated + 0.5) / (coverage - methylated + 0.5)) AS m FROM calls WHERE coverage > 0),
 f AS (SELECT chr, "start", "end", COUNT(*) FILTER (WHERE grp = 'control') AS n0, COUNT(*) FILTER (WHERE grp = 'treated') AS n1, AVG(m) FILTER (WHERE grp = 'control') AS m0, AVG(m) FILTER (WHERE grp = 'treated') AS m1,
 VAR_POP(m) FILTER (WHERE grp = 'control') AS v0, VAR_POP(m) FILTER (WHERE grp = 'treated') AS v1 FROM v GROUP BY chr, "start", "end"),
-g AS (SELECT *, n0 > 0 AND n1 > 0 AND n0 + n1 > 2 AS ok FROM f)
-SELECT chr, "start", "end", CASE WHEN ok THEN ROUND(m1 - m0, 6) END AS coef, CASE WHEN ok THEN ROUND((n0 * v0 + n1 * v1) / (n0 + n1 - 2), 6) END AS s2, CASE WHEN ok THEN n0 + n1 - 2 END AS df, CASE WHEN ok THEN ROUND(sqrt(1.0 / n0 + 1.0 / n1), 6) END AS unscaled FROM g""")
+g AS (SELECT *, n0 > 0 AND n1 > 0 AND n0 + n1 > 2 AS ok FROM f),
+fits AS (SELECT chr, "start", "end", CASE WHEN ok THEN m1 - m0 END AS coef, CASE WHEN ok THEN (n0 * v0 + n1 * v1) / (n0 + n1 - 2) END AS s2, CASE WHEN ok THEN n0 + n1 - 2 END AS df, CASE WHEN ok THEN sqrt(1.0 / n0 + 1.0 / n1) END AS unscaled FROM g)
+"""
+
+
+def _trigamma(x: str) -> str:
+    y = f"({x} + 20.0)"
+    return f"(list_sum(list_transform(range(20), lambda k: 1.0 / (({x} + k) * ({x} + k)))) + 1 / {y} + 1 / (2 * {y} ** 2) + 1 / (6 * {y} ** 3) - 1 / (30 * {y} ** 5) + 1 / (42 * {y} ** 7))"
+
+
+def _digamma(x: str) -> str:
+    y = f"({x} + 20.0)"
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) - list_sum(list_transform(range(20), lambda k: 1.0 / ({x} + k))))"
+
+
+def _beta_tail(x: str, y: str, a: str, b: str) -> str:
+    """x^a y^b / (a B(a, b)) * 2F1(a + b, 1; a + 1; x), y being 1 - x: the incomplete beta function for x up to about 0.9."""
+    return f"""(pow({x}, {a}) * pow({y}, {b}) * exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a} * list_sum(list_transform(range(500), lambda n: exp(lgamma({a} + {b} + n) - lgamma({a} + {b}) - lgamma({a} + 1 + n) + lgamma({a} + 1)) * pow({x}, n))))"""
+
+
+def _limma_sql(prior: str) -> str:
+    """prior: the rows moments (excess, and s0 as an expression of d0) of the variance prior."""
+    return (CTE + _POOLED + _FITS + prior + f""",
+root AS (SELECT 0 AS i, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi UNION ALL
+  SELECT i + 1, CASE WHEN {_trigamma("exp((lo + hi) / 2)")} > excess THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_trigamma("exp((lo + hi) / 2)")} > excess THEN hi ELSE (lo + hi) / 2 END FROM root, moments WHERE i < 100),
+solved AS (SELECT moments.*, 2 * exp((lo + hi) / 2) AS d FROM moments, root WHERE i = 100),
+prior AS (SELECT *, {{s0}} AS s0 FROM (SELECT *, {{d0}} AS d0 FROM solved)),
+tt AS (SELECT fits.*, df + d0 AS k, pow(coef / (sqrt((df * s2 + d0 * s0) / (df + d0)) * unscaled), 2) AS t2 FROM fits, prior),
+xx AS (SELECT *, k / 2 AS a, k / (k + t2) AS x, t2 / (k + t2) AS y FROM tt),
+moderated AS (SELECT *, CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1.0 WHEN x > 0.1 THEN 1 - {_beta_tail("y", "x", "0.5", "a")} ELSE {_beta_tail("x", "y", "a", "0.5")} END AS p FROM xx),
+numbered AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS n FROM moderated),
+fdr AS (SELECT *, LEAST(1.0, MIN(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM numbered)
+SELECT s.chr, s."start", s."end", s.strand, s.context, ROUND(p, 6) AS pvalue, ROUND(q, 6) AS qvalue, ROUND(mb - ma, 6) AS mean_diff, ROUND(ma, 6) AS mean_meth_control, ROUND(mb, 6) AS mean_meth_treated
+FROM sites s JOIN fdr ON fdr.chr = s.chr AND fdr."start" = s."start" JOIN pooled ON pooled.chr = s.chr AND pooled."start" = s."start" """).replace("WITH raw", "WITH RECURSIVE raw", 1)
+
+
+_Z = "ln(GREATEST(s2, 1e-10))"
+_COMPAT = _limma_sql(f""", moments AS (SELECT AVG({_Z}) AS mean, VAR_POP({_Z}) AS spread, AVG(df) AS d_mean, MEDIAN(s2) AS mid, VAR_POP({_Z}) - {_trigamma("(AVG(df) / 2)")} AS excess FROM fits WHERE s2 IS NOT NULL)""")
+_COMPAT = _COMPAT.replace("{d0}", "CASE WHEN spread = 0 THEN 1e6 WHEN excess > 0 AND d BETWEEN 2 AND 200 THEN d ELSE 50.0 END").replace("{s0}", f"CASE WHEN spread = 0 THEN exp(mean) WHEN excess > 0 THEN exp(mean + {_digamma('(d_mean / 2)')} - {_digamma('(d0 / 2)')}) ELSE mid END")
+_E = f"({_Z} - {_digamma('(df / 2)')} + ln(df / 2))"
+_TEXTBOOK = _limma_sql(f""", moments AS (SELECT AVG(e) AS mean, VAR_SAMP(e) - AVG(t) AS excess FROM (SELECT {_E} AS e, {_trigamma("(df / 2)")} AS t FROM fits WHERE s2 IS NOT NULL))""")
+_TEXTBOOK = _TEXTBOOK.replace("{d0}", "d").replace("{s0}", f"exp(mean + {_digamma('(d0 / 2)')} - ln(d0 / 2))")
+
+
+@query(_FITS + f"SELECT {K}, ROUND(coef, 6) AS coef, ROUND(s2, 6) AS s2, df, ROUND(unscaled, 6) AS unscaled FROM fits")
 def limma_stats(spark, sf):
     return stats.limma_stats(testdata.cohort(spark, sf), "group", "control", "treated").select(*KEY, *r6("coef", "s2"), "df", *r6("unscaled"))
 
 
-@query()
+def _tested(dmc: DataFrame) -> DataFrame:
+    return dmc.select(*KEY, "strand", "context", *r6("pvalue", "qvalue", "mean_diff", "mean_meth_control", "mean_meth_treated"))
+
+
+@query(_COMPAT, bare=True)
 def limma_dmc(spark, sf):
-    return stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma")
+    return _tested(stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma"))
+
+
+@query(_COMPAT, bare=True)
+def auto_dmc(spark, sf):
+    return _tested(stats.calculate_diff_meth(testdata.cohort(spark, sf)))
+
+
+@query(_TEXTBOOK, bare=True)
+def limma_exact_prior(spark, sf):
+    return _tested(stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma", method="exact"))
 
 
 @query()
@@ -374,11 +508,39 @@ def dmrs_bed(spark, sf):
     return sinks.dmr_bed(_dmrs(spark, sf))
 
 
+@query(_CUT + 'SELECT chr, "start", "end", n_cpgs, ROUND(mean_diff, 6) AS mean_diff, direction FROM dmrs')
+def result_table_file(spark, sf):
+    path = scratch.folder(spark, "dmrs")
+    sinks.write_tsv(_dmrs(spark, sf), path)
+    return readers.read_table(spark, path).select(*KEY, F.col("n_cpgs").cast("long").alias("n_cpgs"), *r6("mean_diff"), "direction")
+
+
+@query(_CUT + "SELECT chr, \"start\", \"end\", direction AS column_4, CAST(CAST(floor(LEAST(abs(mean_diff) * 10, 1000)) AS INT) AS VARCHAR) AS column_5, '.' AS column_6 FROM dmrs")
+def dmrs_bed_file(spark, sf):
+    path = scratch.folder(spark, "dmrs")
+    sinks.dmrs_to_bed(_dmrs(spark, sf), path)
+    return readers.read_bed(spark, path).drop("bed_row")
+
+
 @query(_POOLED + f"SELECT {K}, ROUND(mb - ma, 6) AS mean_diff FROM pooled WHERE mb - ma IS NOT NULL ORDER BY mb - ma DESC, {K} LIMIT 50")
 def top_hyper_k(spark, sf):
     return dmr.top(_diffs(spark, sf), 50).select(*KEY, *r6("mean_diff"))
 
 
+@query(_POOLED + f"SELECT {K}, ROUND(mb - ma, 6) AS mean_diff FROM pooled WHERE mb - ma IS NOT NULL ORDER BY mb - ma, {K} LIMIT 50")
+def top_hypo_k(spark, sf):
+    return dmr.top(_diffs(spark, sf), 50, hyper=False).select(*KEY, *r6("mean_diff"))
+
+
+_ANY = _POOLED + _DMR.format(_DIFFS, 0.85, 2000, 1, 0).replace(" OR sign(diff) <> prev_sign", "").replace("q < 0.85 AND", "q < 0.85 AND abs(diff) >= 15 AND")
+
+
+@query(_ANY + 'SELECT chr, "start", "end", n_cpgs, ROUND(mean_diff, 6) AS mean_diff, ROUND(min_qvalue, 6) AS min_qvalue, direction FROM dmrs')
+def merge_dmrs_any_direction(spark, sf):
+    out = dmr.merge_dmrs(_diffs(spark, sf), qvalue_cutoff=0.85, mean_diff_cutoff=15, max_gap=2000, min_sites=1, min_abs_diff=0, same_direction=False)
+    return out.select(*KEY, "n_cpgs", *r6("mean_diff", "min_qvalue"), "direction")
+
+
 _FLAG = _EXACT + """, ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS m FROM exact),
 corrected AS (SELECT *, LEAST(1.0, MIN(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ranked)
 """ + _DMR.format("SELECT * FROM corrected", 0.05, 1000, 1, 10)
@@ -392,7 +554,7 @@ def flagship_fisher_dmr(spark, sf):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohort -> pooled exact tests -> FDR -> merged regions."""
     m = testdata.cohort(spark, sf_dir)
-    dmc = stats.calculate_diff_meth(m, test="fisher", method="exact")
+    dmc = stats.calculate_diff_meth(m, test="fisher", method="exact", sort=False)
     return dmr.merge_dmrs(dmc, min_sites=1).select(*KEY, "n_cpgs", *r6("mean_diff", "min_qvalue"), "direction")
 
 
@@ -401,12 +563,6 @@ def significance_counts(spark, sf):
     return stats.significance(stats.calculate_diff_meth(testdata.cohort(spark, sf), test="fisher", method="exact"))
 
 
-@query(_EXACT + f"SELECT {K}, strand, context FROM calls GROUP BY ALL HAVING SUM(coverage) >= 200", bare=False)
-def pooled_coverage_filter(spark, sf):
-    c = testdata.calls(spark, sf)
-    return c.groupBy(*KEY, "strand", "context").agg(F.sum("coverage").alias("n")).where("n >= 200").drop("n")
-
-
 # --- quality control -----------------------------------------------------------------------
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methylake.operators import intervals
 from methylake.operators.cohort import MethylFrame
-from methylake.sources.schema import CALL_COLUMNS, percent
+from methylake.sources.schema import CALL_COLUMNS, ordinal, percent
 
 STANDARD = ["chr", "start", "end", "strand", "beta", "methylated", "unmethylated", "coverage", "context"]
 
@@ -206,10 +207,24 @@ def read_samples(spark: SparkSession, sheet: str, *, min_coverage: int = 1, max_
         sinks.save(cohort, out_path)
         cohort = sinks.load(spark, out_path)
         if validate_output:
-            cohort.sites.limit(1).count()
+            sinks.validate(cohort)
     return cohort
 
 
+def build_cohort_streaming(spark: SparkSession, sample_ids: list[str], paths: list[str], metadata: list[dict] | None = None, *, min_coverage: int = 1, max_coverage: int | None = None, join_type: str = "outer", regions_bed=None) -> MethylFrame:
+    """Coverage files -> cohort whose sites have locus_id, their place 0.. in genomic order. One lazy plan, like build_cohort: Spark reads files piece by piece in any case."""
+    frames = [load_sample(spark, p, "bismark", min_coverage=min_coverage, max_coverage=max_coverage, regions=regions_bed) for p in paths]
+    cohort = build_cohort(spark, sample_ids, frames, metadata, join_type=join_type)
+    return replace(cohort, sites=ordinal(cohort.sites, "locus_id"))
+
+
+def read_samples_streaming(spark: SparkSession, sheet: str, **how) -> MethylFrame:
+    """Sample sheet of coverage files -> cohort, by build_cohort_streaming."""
+    rows = read_sheet(spark, sheet)
+    meta = [{k: v for k, v in r.items() if k != "path"} for r in rows]
+    return build_cohort_streaming(spark, [r["sample_id"] for r in rows], [r["path"] for r in rows], meta, **how)
+
+
 def build_cohort(spark: SparkSession, sample_ids: list[str], frames: list[DataFrame], metadata: list[dict] | None = None, *, join_type: str = "outer") -> MethylFrame:
     """Aligns samples on (chr, start): outer keeps the union of loci, inner those that every sample has.
 
@@ -242,3 +257,7 @@ def build_cohort(spark: SparkSession, sample_ids: list[str], frames: list[DataFr
         calls = calls.join(sites.select("chr", "start", "end"), ["chr", "start", "end"], "left_semi")
     samples = spark.createDataFrame([{"sample_id": s} | (m or {}) for s, m in zip(sample_ids, metadata or [None] * len(sample_ids), strict=True)])
     return MethylFrame(calls.select(*CALL_COLUMNS), sites.drop("__n"), samples)
+
+
+#: The chunked entry point: the plan is the same, as Spark never holds a cohort at once.
+build_cohort_chunked = build_cohort

@@ -34,6 +34,20 @@ def load(spark: SparkSession, path: str) -> MethylFrame:
     return MethylFrame(*(_typed(spark.read.parquet(f"{path}/{t}")) for t in TABLES))
 
 
+def validate(cohort: MethylFrame) -> None:
+    """RuntimeError unless every call has its site and its sample, no (sample, site) occurs twice, and counts add up."""
+    key = ["sample_id", "chr", "start", "end"]
+    calls = cohort.calls
+    faults = {
+        "calls without a site": calls.join(cohort.sites, key[1:], "left_anti"),
+        "calls without a sample": calls.join(F.broadcast(cohort.samples.select("sample_id")), "sample_id", "left_anti"),
+        "repeated calls": calls.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "counts that don't add up": calls.where("methylated < 0 or unmethylated < 0 or methylated + unmethylated <> coverage"),
+    }
+    if wrong := [name for name, df in faults.items() if not df.isEmpty()]:
+        raise RuntimeError(f"the store has {', '.join(wrong)}")
+
+
 def _typed(df: DataFrame) -> DataFrame:
     return df.withColumn("chr", F.col("chr").cast("string")) if "chr" in df.columns else df
 

@@ -196,3 +196,51 @@ def test_qc(toy):
     assert isinstance(scores, pd.DataFrame)
     with pytest.raises(ValueError):
         qc.methylation_distribution(toy, "pie")
+
+
+def test_priors():
+    from methylake.functions import special
+
+    for y in (1e-3, 0.3, 2.0, 50.0):
+        assert special.trigamma(special.trigamma_inverse(y)) == pytest.approx(y, rel=1e-9)
+    never = lambda: pytest.fail("the median isn't needed")
+    assert stats.ebayes_prior(0.5, 0.0, 4, never) == (1e6, math.exp(0.5))
+    assert stats.ebayes_prior(0.5, float("nan"), 4, never)[0] == 1e6
+    assert stats.ebayes_prior(0.5, special.trigamma(2.0) / 2, 4, lambda: 7.0) == (50.0, 7.0)
+    d0, s0 = stats.ebayes_prior(0.5, special.trigamma(2.0) + special.trigamma(3.0), 4, never)
+    assert d0 == pytest.approx(6, abs=1e-6) and s0 == pytest.approx(math.exp(0.5 + special.digamma(2) - special.digamma(3)))
+    assert stats.ebayes_prior(0.5, special.trigamma(2.0) + special.trigamma(0.5), 4, never)[0] == 50.0  # a root out of range
+    # scaled F variances: the textbook prior finds the scale and the degrees of freedom
+    rng = np.random.default_rng(3)
+    d = np.repeat([3.0, 5.0], 40_000)
+    s2 = 2.5 * rng.chisquare(d) / d / (rng.chisquare(8, d.size) / 8)
+    z = np.log(s2)
+    d0, s0 = stats.exact_prior([(k, int((d == k).sum()), float(z[d == k].sum()), float((z[d == k] ** 2).sum())) for k in (3.0, 5.0)])
+    assert d0 == pytest.approx(8, rel=0.1) and s0 == pytest.approx(2.5, rel=0.03)
+    same = np.log(rng.chisquare(5, 50_000) / 5)
+    assert stats.exact_prior([(5.0, 50_000, float(same.sum()), float((same**2).sum()) * 0.9)])[0] == math.inf
+
+
+def test_exact_median(spark):
+    rng = np.random.default_rng(5)
+    for values in ([3.0], [1.0, 2.0], rng.random(5000).tolist(), [1.0] * 400 + rng.random(301).tolist(), rng.integers(0, 9, 900).astype(float).tolist()):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert stats.exact_median(df, "v", few=50) == pytest.approx(float(np.median(values)), abs=1e-12)
+
+
+def test_order_and_matrices(toy):
+    out = stats.calculate_diff_meth(toy, test="fisher").collect()
+    assert [(r.pvalue, r.chr, r.start) for r in out] == sorted((r.pvalue, r.chr, r.start) for r in out)
+    arrays = stats.site_arrays(toy, ["ctrl_1", "treat_1", "ctrl_2", "treat_2"]).toPandas()
+    m, c = stats._matrices(arrays, 4)
+    for i, r in arrays.iterrows():
+        assert [m[i, s] for s in r["s"]] == list(r["m"]) and c[i].sum() == sum(r["c"])
+    assert stats._matrices(arrays.iloc[:0], 4)[0].shape == (0, 4)
+
+
+def test_annotating_a_cohort(spark, toy, tmp_path):
+    (tmp_path / "f.bed").write_text("chr1\t900\t2500\tfirst\nchr1\t1000\t1001\tsecond\nchr2\t0\t600\tthird\n")
+    out = intervals.annotate_cpg_islands(intervals.annotate_features(toy, str(tmp_path / "f.bed"), name_col=4), str(tmp_path / "f.bed"))
+    got = {(r.chr, r.start): (r.feature, r.cpg_region) for r in out.sites.collect()}
+    assert got["chr1", 1000] == ("first", "island") and got["chr2", 500] == ("third", "island") and got["chr1", 3000] == (None, "shore") and got["chr3", 9999] == (None, "open_sea")
+    assert out.calls is toy.calls and len(got) == toy.n_sites

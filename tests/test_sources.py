@@ -118,3 +118,22 @@ def test_bed_and_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "st/calls"))
     assert got.count() == 7 and {r.sample_id for r in got.collect()} == {"s1"}
+
+
+def test_store_validation_and_streaming_entry(spark, tmp_path):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    lines = ["chr2\t5\t6\t50.0\t5\t5", "chr1\t9\t10\t20.0\t2\t8", "chr10\t1\t2\t10.0\t1\t9"]
+    for s in "ab":
+        (tmp_path / f"{s}.cov").write_text("\n".join(lines if s == "a" else lines[:2]) + "\n")
+    (tmp_path / "sheet.csv").write_text("sample_id,path,group\n" + "".join(f"{s},{tmp_path}/{s}.cov,g{s}\n" for s in "ab"))
+    m = readers.read_samples_streaming(spark, str(tmp_path / "sheet.csv"), min_coverage=5)
+    assert {(r.chr, r.start): r.locus_id for r in m.sites.collect()} == {("chr1", 9): 0, ("chr2", 5): 1, ("chr10", 1): 2}
+    assert [r["group"] for r in m.samples.orderBy("sample_id").collect()] == ["ga", "gb"]
+    sinks.validate(m)
+    for bad, what in ((replace(m, sites=m.sites.where("chr <> 'chr1'")), "without a site"), (replace(m, samples=m.samples.where("sample_id = 'a'")), "without a sample"), (replace(m, calls=m.calls.unionAll(m.calls)), "repeated"), (replace(m, calls=m.calls.withColumn("coverage", F.col("coverage") + 1)), "add up")):
+        with pytest.raises(RuntimeError, match=what):
+            sinks.validate(bad)
+    assert readers.build_cohort_chunked is readers.build_cohort
