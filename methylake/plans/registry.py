@@ -420,14 +420,68 @@ def limma_covariates(spark, sf):
     return stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma", covariates=["batch"])
 
 
-@query()
+def _pair_sum(g: str, body: str) -> str:
+    """Sum over a group's samples of body in y and n."""
+    return f"list_sum(list_transform(list_zip(y{g}, n{g}), lambda v: {body.replace('$y', 'v[1]').replace('$n', 'v[2]')}))"
+
+
+def _mu(eta: str) -> str:
+    return f"LEAST(GREATEST(1 / (1 + exp(-LEAST(GREATEST({eta}, -700.0), 700.0))), 1e-8), 1 - 1e-8)"
+
+
+def _weight(mu: str) -> str:
+    return f"GREATEST($n * {mu} * (1 - {mu}), 1e-10)"
+
+
+def _deviance(g: str, mu: str) -> str:
+    y, m = "LEAST(GREATEST($y, 1e-10), 1 - 1e-10)", f"LEAST(GREATEST({mu}, 1e-10), 1 - 1e-10)"
+    return f"2 * {_pair_sum(g, f'({y} * ln({y} / {m}) + (1 - {y}) * ln((1 - {y}) / (1 - {m})))')}"
+
+
+def _erfc(x: str) -> str:
+    """By the series of erf with positive terms; 0 to six places beyond 6."""
+    return f"CASE WHEN {x} > 6 THEN 0.0 ELSE GREATEST(0.0, 1 - 1.1283791670955126 * exp(-({x}) * ({x})) * {x} * list_sum(list_transform(range(200), lambda n: exp(n * ln(2 * ({x}) * ({x}) + 1e-300) - (lgamma(2 * n + 2) - n * ln(2) - lgamma(n + 1)))))) END"
+
+
+_GLM = CTE.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""", wide AS (SELECT chr, "start", "end", {', '.join(f"MAX(CASE WHEN sample_id = 's{i}' THEN methylated * 1.0 / coverage END) AS y{i}, MAX(CASE WHEN sample_id = 's{i}' THEN coverage END) AS n{i}" for i in range(6))} FROM calls WHERE coverage > 0 GROUP BY chr, "start", "end"),
+site AS (SELECT chr, "start", "end", {', '.join(f"[{', '.join(f'COALESCE({c}{i}, 0.0)::DOUBLE' for i in own)}] AS {c}{g}" for g, own in (('a', (0, 2, 4)), ('b', (1, 3, 5))) for c in 'yn')} FROM wide),
+it AS (SELECT *, 0 AS k, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS la, 0.0::DOUBLE AS lb, 1.0::DOUBLE AS moved FROM site UNION ALL
+  SELECT chr, "start", "end", ya, na, yb, nb, k + 1, d0, d1, c0, c0 + c1, GREATEST(abs(d0 - c0), abs(d1 - c1)) FROM
+  (SELECT *, (ta * sb + 1e-12 * (ta + tb)) / det AS d0, (sa * tb - sb * ta + 1e-12 * tb) / det AS d1 FROM
+  (SELECT *, c0 * sa + ra AS ta, (c0 + c1) * sb + rb AS tb, sa * sb + 1e-12 * (sa + 2 * sb) + 1e-24 AS det FROM
+  (SELECT *, {_pair_sum("a", _weight("mu_a"))} AS sa, {_pair_sum("b", _weight("mu_b"))} AS sb, {_pair_sum("a", "($y - mu_a)")} AS ra, {_pair_sum("b", "($y - mu_b)")} AS rb FROM
+  (SELECT *, {_mu("c0")} AS mu_a, {_mu("c0 + c1")} AS mu_b FROM it WHERE k < 30 AND moved >= 1e-6))))),
+fitted AS (SELECT *, {_mu("c0")} AS mu_a, {_mu("c0 + c1")} AS mu_b, {_mu("la")} AS v_a, {_mu("lb")} AS v_b FROM it QUALIFY ROW_NUMBER() OVER (PARTITION BY chr, "start" ORDER BY k DESC) = 1),
+"""
+_WALD = _GLM + f"""parts AS (SELECT *, {_pair_sum("a", _weight("v_a"))} AS sa, {_pair_sum("b", _weight("v_b"))} AS sb, {_pair_sum("a", f"(($y - mu_a) * ($y - mu_a) / {_weight('v_a')})")} AS ca, {_pair_sum("b", f"(($y - mu_b) * ($y - mu_b) / {_weight('v_b')})")} AS cb FROM fitted),
+z AS (SELECT *, abs(c1 / GREATEST(sqrt(ca / (sa * sa) + cb / (sb * sb)), 1e-10)) / sqrt(2) AS x FROM parts)
+SELECT {K}, CASE WHEN list_sum(na) = 0 OR list_sum(nb) = 0 THEN 1.0 ELSE ROUND({_erfc("x")}, 6) END AS pvalue FROM z"""
+_LRT = _GLM + f"""alone AS (SELECT *, 0 AS k, 0.0::DOUBLE AS c0, 1.0::DOUBLE AS moved FROM site UNION ALL
+  SELECT chr, "start", "end", ya, na, yb, nb, k + 1, d0, abs(d0 - c0) FROM
+  (SELECT *, (c0 * s + r) / (s + 1e-12) AS d0 FROM
+  (SELECT *, {_pair_sum("a", _weight("mu"))} + {_pair_sum("b", _weight("mu"))} AS s, {_pair_sum("a", "($y - mu)")} + {_pair_sum("b", "($y - mu)")} AS r FROM
+  (SELECT *, {_mu("c0")} AS mu FROM alone WHERE k < 30 AND moved >= 1e-6)))),
+without AS (SELECT *, {_mu("c0")} AS mu FROM alone QUALIFY ROW_NUMBER() OVER (PARTITION BY chr, "start" ORDER BY k DESC) = 1),
+d1 AS (SELECT {K}, {_deviance("a", "mu_a")} + {_deviance("b", "mu_b")} AS full_dev FROM fitted),
+d0 AS (SELECT {K}, {_deviance("a", "mu")} + {_deviance("b", "mu")} AS null_dev FROM without),
+lr AS (SELECT {K}, CASE WHEN list_sum(na) = 0 OR list_sum(nb) = 0 THEN 0.0 ELSE GREATEST(null_dev - full_dev, 0.0) END AS stat FROM d0 JOIN d1 USING ({K}) JOIN site USING ({K})),
+z AS (SELECT *, sqrt(stat / 2) AS x FROM lr)
+SELECT {K}, ROUND(stat, 6) AS statistic, ROUND({_erfc("x")}, 6) AS pvalue FROM z"""
+
+
+@query(_WALD, bare=True)
 def glm_wald(spark, sf):
-    return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated")
+    return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated").select(*KEY, *r6("pvalue"))
 
 
-@query()
+@query(_LRT, bare=True)
 def glm_lrt(spark, sf):
-    return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated", overdispersion=False)
+    return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated", overdispersion=False).select(*KEY, *r6("statistic", "pvalue"))
+
+
+@query()
+def glm_dmc(spark, sf):
+    return stats.calculate_diff_meth(testdata.cohort(spark, sf), test="glm")
 
 
 @query()
