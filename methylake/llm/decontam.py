@@ -19,15 +19,19 @@
    so where these are enough, every window of the text that has enough of them (from the
    item's length before a word block to its length behind a passage) is compared as in 4.
 
-Items are taken in blocks of `block`, so the broadcast tables are bounded whatever the
-benchmark's size; each block is one pass without a shuffle. Null and empty texts and
-items match nothing. Repeated rows and items give repeated results. Extra columns stay out
-of the way. Texts are read whole.
+The model is made of blocks of `block` items. Word counts are one pass over the documents,
+the search is another, without a shuffle, whatever the number of blocks; models of more
+than `MOST` bytes are searched in as many passes as they fill. Null and empty texts and
+items match nothing. Repeated rows get equal rows. An item id counts once in a document:
+several texts under one id (or repeated items) give the largest share among them. Ties
+need no order: every item that passes is returned, by id. Extra columns stay out of the way.
+Texts are read whole.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, repeat
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from methylake.llm.common import map_batches, on_release
 
 STEP, WIDE = 8, 4
+#: Bytes of models that are broadcast for one pass, and items whose word counts are gathered at once.
+MOST, COUNTED = 256 << 20, 100_000
 _BLANK = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
@@ -69,7 +75,7 @@ class Model:
     bags: list[tuple[np.ndarray, np.ndarray]]  # each item's terms, and how often it has them
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _load(blob: bytes) -> Model:
     return pickle.loads(blob)
 
@@ -101,11 +107,9 @@ def frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, i
 
     def count(b):
         idx, lens, _ = lookup(b.column(0).to_pylist(), vocab)
-        seen = np.zeros((len(lens), n + 1), bool)
-        seen[np.repeat(np.arange(len(lens)), lens), idx] = True
-        hits = seen[:, :n].sum(0)
-        some = np.flatnonzero(hits)
-        return {"i": np.append(some, -1).astype(np.int32), "n": np.append(hits[some], len(lens))}
+        text, known = np.repeat(np.arange(len(lens)), lens), idx >= 0
+        term, times = np.unique(np.unique(text[known] * max(n, 1) + idx[known]) % max(n, 1), return_counts=True)
+        return {"i": np.append(term, -1).astype(np.int32), "n": np.append(times, len(lens))}
 
     rows = map_batches(docs.select("text"), count, "i int, n bigint", 1 << 20).groupBy("i").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(n + 1)
@@ -114,10 +118,24 @@ def frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, i
     return out[:n], int(out[n])
 
 
-def _tfidf(idx: np.ndarray, row: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
+def _tfidf(idx: np.ndarray, row: np.ndarray, rows: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' unit TF-IDF vectors as (row, term, value), by row and term."""
     ok = idx >= 0
-    a = np.bincount(row[ok] * len(idf) + idx[ok], minlength=rows * len(idf)).reshape(rows, len(idf)) * idf
-    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+    key, times = np.unique(row[ok] * len(idf) + idx[ok], return_counts=True)
+    r, t = key // len(idf), key % len(idf)
+    value = times * idf[t]
+    norm = np.sqrt(np.bincount(r, value**2, rows))
+    return r, t, value / np.maximum(norm[r], 1e-9)
+
+
+def _spread(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of values at their places."""
+    out = np.zeros((size, values.shape[1]))
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
+        out[at[order][start]] = np.add.reduceat(values[order], start, axis=0)
+    return out
 
 
 def factors(texts: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, rank: int, seed: int) -> np.ndarray:
@@ -130,9 +148,9 @@ def factors(texts: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, rank: in
         size = STEP * WIDE
         n = -(-lens // size)
         row = np.repeat(np.cumsum(n) - n, lens) + (np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)) // size
-        a = _tfidf(idx, row, int(n.sum()), idf)
-        y = a @ omega
-        return {"g": [(y.T @ y).tobytes()], "z": [(a.T @ y).astype(np.float32).tobytes()]}
+        r, t, value = _tfidf(idx, row, int(n.sum()), idf)
+        y = _spread(r, value[:, None] * omega[t], int(n.sum()))
+        return {"g": [(y.T @ y).tobytes()], "z": [_spread(t, value[:, None] * y[r], len(idf)).astype(np.float32).tobytes()]}
 
     g, z = np.zeros((wide, wide)), np.zeros((len(idf), wide))
     for r in map_batches(texts.coalesce(4), part, "g binary, z binary", 1 << 20).toLocalIterator():
@@ -146,12 +164,16 @@ def factors(texts: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, rank: in
     return b.T @ (v[:, top] / np.sqrt(s[top]))
 
 
-def fit(docs: DataFrame, benchmark: list[tuple[int, str]], rank: int = 64, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, benchmark: list[tuple[int, str]], rank: int = 64, seed: int = 5, counts: tuple | None = None) -> Model | None:
+    """A block's model; counts: (vocabulary, document frequency of each term, documents) of a benchmark that holds the block, if known."""
     items = [(i, w, answer_at(t or "", len(w))) for i, t in benchmark if (w := terms(t))]
     if not items:
         return None
     vocab = {w: k for k, w in enumerate(sorted({w for _, ws, _ in items for w in ws}))}
-    df, n = frequencies(docs, vocab)
+    if counts is None:
+        df, n = frequencies(docs, vocab)
+    else:
+        df, n = counts[1][[counts[0][w] for w in vocab]], counts[2]
     idf = np.log((n + 1) / (df + 0.5))
     spark = docs.sparkSession
     own = spark.createDataFrame([(t,) for _, t in benchmark if t], "text string")
@@ -300,33 +322,50 @@ def find(m: Model, texts: list, cosine: float, share: float, low: float) -> list
     return out
 
 
+def models(docs: DataFrame, benchmark: DataFrame, block: int) -> Iterator[Model]:
+    """The blocks' models; the documents are counted once for `COUNTED` items."""
+    for part in _blocks(benchmark, max(block, COUNTED)):
+        vocab = {w: k for k, w in enumerate(sorted({w for _, t in part for w in terms(t)}))}
+        counts = (vocab, *frequencies(docs, vocab)) if vocab else None
+        for i in range(0, len(part), block):
+            model = fit(docs, part[i : i + block], counts=counts)
+            if model is not None:
+                yield model
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), cosine: float = 0.4, share: float = 0.8, low: float = 0.6, block: int = 2000) -> DataFrame:
     """Kept columns, text, items array<long> and shares array<double>: the benchmark items that each document holds."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "".join(f"`{k}` {types[k]}, " for k in keep) + "text string, items array<bigint>, shares array<double>"
     out = docs.select(*keep, "text", F.expr("cast(array() as array<bigint>)").alias("items"), F.expr("cast(array() as array<double>)").alias("shares"))
-    for part in _blocks(benchmark, block):
-        model = fit(docs, part)
-        if model is None:
-            continue
-        blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
-        def run(b, blob=blob):
-            m = _load(blob.value)
-            at = b.schema.get_field_index
-            found = find(m, b.column(at("text")).to_pylist(), cosine, share, low)
-            ids = [o + sorted(f) for o, f in zip(b.column(at("items")).to_pylist(), found, strict=True)]
-            shares = [o + [f[i] for i in sorted(f)] for o, f in zip(b.column(at("shares")).to_pylist(), found, strict=True)]
-            return {k: b.column(at(k)) for k in (*keep, "text")} | {"items": ids, "shares": shares}
+    def search(out: DataFrame, blobs: list[bytes]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(blobs)
 
-        out = map_batches(out, run, schema, 1 << 18)
-    return out
-
-
-def _blocks(benchmark: DataFrame, block: int):
-    """Items of the benchmark, at most `block` at a time."""
-    part = []
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").toLocalIterator():
+        def run(b):
+            at = b.schema.get_field_index
+            texts = b.column(at("text")).to_pylist()
+            found = [dict(zip(i, s, strict=True)) for i, s in zip(b.column(at("items")).to_pylist(), b.column(at("shares")).to_pylist(), strict=True)]
+            for blob in held.value:
+                for own, more in zip(found, find(_load(blob), texts, cosine, share, low), strict=True):
+                    own.update({i: max(x, own.get(i, 0.0)) for i, x in more.items()})
+            return {k: b.column(at(k)) for k in (*keep, "text")} | {"items": [sorted(f) for f in found], "shares": [[f[i] for i in sorted(f)] for f in found]}
+
+        return map_batches(out, run, schema, 1 << 18)
+
+    blobs: list[bytes] = []
+    for model in models(docs, benchmark, block):
+        blob = pickle.dumps(model)
+        if blobs and sum(map(len, blobs)) + len(blob) > MOST:
+            out, blobs = search(out, blobs), []
+        blobs.append(blob)
+    return search(out, blobs) if blobs else out
+
+
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
+    """Different items of the benchmark with an id, at most `block` at a time."""
+    part: list[tuple[int, str]] = []
+    for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         part.append((r[0], r[1]))
         if len(part) == block:
             yield part

@@ -168,6 +168,38 @@ def test_decontamination_edges(leaks, docs, empty, clashing):
     assert decontam.scan(clashing, bench).count() == docs.count()
 
 
+def test_items_of_one_id_and_passes(spark, leaks, monkeypatch):
+    """An id counts once with its best text, in whatever block or pass its texts are."""
+    docs, bench, want = leaks
+    twice = bench.union(bench).union(spark.createDataFrame([(3, "nothing of this is anywhere in the documents at all")], "item_id long, text string"))
+    results = []
+    for most in (decontam.MOST, 1):
+        monkeypatch.setattr(decontam, "MOST", most)
+        for block in (2000, 15):
+            found = decontam.scan(docs, twice, block=block).collect()
+            assert {r.doc_id: r["items"] for r in found if r["items"]} == want
+            results.append({r.doc_id: r.shares for r in found})
+    assert all(r == results[0] for r in results)
+
+
+def test_sparse_factors():
+    rng = np.random.default_rng(2)
+    idx, row = rng.integers(-1, 30, 400), np.sort(rng.integers(0, 12, 400))
+    idf = rng.random(30) + 0.5
+    r, t, v = decontam._tfidf(idx, row, 12, idf)
+    dense = np.zeros((12, 30))
+    for i, k in zip(idx, row, strict=True):
+        if i >= 0:
+            dense[k, i] += idf[i]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    got = np.zeros((12, 30))
+    got[r, t] = v
+    assert np.allclose(got, dense)
+    omega = rng.random((30, 5))
+    assert np.allclose(decontam._spread(r, v[:, None] * omega[t], 12), dense @ omega)
+    assert decontam._spread(np.empty(0, int), np.empty((0, 5)), 3).shape == (3, 5)
+
+
 @pytest.mark.parametrize("scale", [1, 1000])
 def test_decontamination_at_scale(spark, monkeypatch, scale):
     """Items are found whatever the number of documents, their words' shares being the same, as by brute force over all windows."""
