@@ -9,6 +9,7 @@ def test_stages(spark, sf, docs, empty, clashing):
     assert names == ["language_id", "near_duplicates", "decontamination", "pii", "bpe"]
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, clashing, sf).columns == clashing.columns
+    assert corpus_pipeline.encoding(spark, clashing, sf).count() == clashing.count()
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert name == "bpe" or out.columns == docs.columns
@@ -16,6 +17,24 @@ def test_stages(spark, sf, docs, empty, clashing):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_language_stage(spark, sf):
+    """Foreign texts go if they are long enough to tell; without labels, what has letters stays."""
+    english = "the old house stands near the river and the children play there every day "
+    rows = [(i, english * 3, "en" if i else None) for i in range(5)] + [(9, "ђ" * 20, None), (10, "щъыьэюя ђѓєѕіїј њћќѝўџ " * 4, None), (11, None, "en"), (12, "12 34", "en"), (13, "the old house", None)]
+    df = spark.createDataFrame([(i, t, k, None, len(t or "")) for i, t, k in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, df, sf).collect()}
+    assert kept == {**{i: "en" for i in range(5)}, 9: "en", 13: "en"}
+    bare = df.selectExpr("doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "1 n_chars")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, bare, sf).collect()} == {0, 1, 2, 3, 4, 9, 10, 13}
+
+
+def test_redaction_stage(spark, sf):
+    rows = [(0, "mail a@b.org or 10.0.0.1 now", 28), (1, None, None), (2, 'token = "' + "0a" * 20 + '" end', 54), (2, "plain", 5)]
+    out = corpus_pipeline.redaction(spark, spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in rows], "doc_id bigint, text string, lang string, source string, n_chars int"), sf).collect()
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in out if r.text is not None)
+    assert got == [(0, "mail [EMAIL] or [IP] now", 24), (2, "plain", 5), (2, 'token = "[SECRET]" end', 22)] and len(out) == 4
+
+
 def test_run(spark, sf):
     import public_tokenizers
 
