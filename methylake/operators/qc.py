@@ -40,17 +40,27 @@ def methylation_distribution(cohort: MethylFrame, plot_type: str = "violin", bin
     return d.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg("beta").alias("mean"), *(F.percentile("beta", x).alias(f"q{int(x * 100)}") for x in q))
 
 
-def _products(d: DataFrame) -> DataFrame:
-    """Sums of products v_i v_j over sites for sample pairs i <= j, from per-site arrays: no self-join; n^2 / 2 sums per site are added map-side."""
-    arrays = d.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("sample_id", "v"))).alias("x"))
-    pairs = arrays.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("b.sample_id >= a.sample_id")
-    return pairs.groupBy(F.col("a.sample_id").alias("i"), F.col("b.sample_id").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("g"))
+def _products(d: DataFrame, names: list[str]) -> DataFrame:
+    """Sums of products v_i v_j over sites for sample pairs i <= j. Sites meet as arrays; a task sums X'X of its sites' matrices and returns one row a pair."""
+    place = F.create_map(*[v for i, s in enumerate(names) for v in (F.lit(s), F.lit(i))])
+    arrays = d.groupBy(*KEY).agg(F.collect_list(F.struct(place[F.col("sample_id")].alias("s"), "v")).alias("x")).select("x.s", "x.v")
+    a, b = np.triu_indices(len(names))
+
+    def run(it):
+        total = np.zeros((len(names), len(names)))
+        for p in it:
+            x = np.zeros((len(p), len(names)))
+            x[np.repeat(np.arange(len(p)), p["s"].map(len)), np.concatenate(p["s"].to_list())] = np.concatenate(p["v"].to_list())
+            total += x.T @ x
+        yield pd.DataFrame({"i": [names[k] for k in a], "j": [names[k] for k in b], "g": total[a, b]})
+
+    return arrays.mapInPandas(run, "i string, j string, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def pca_gram(cohort: MethylFrame) -> DataFrame:
     """Gram matrix (i, j, g; i <= j) of the betas less their site mean; missing cells count as the mean."""
     mean = F.avg("beta").over(W.partitionBy(*KEY))
-    return _products(cohort.calls.where("beta is not null").select("sample_id", *KEY, (F.col("beta") - mean).alias("v")))
+    return _products(cohort.calls.where("beta is not null").select("sample_id", *KEY, (F.col("beta") - mean).alias("v")), cohort.obs_names)
 
 
 def _matrix(rows: DataFrame, names: list[str]) -> np.ndarray:
@@ -67,7 +77,7 @@ def pca(cohort: MethylFrame, n_comps: int = 50) -> tuple[pd.DataFrame, np.ndarra
     g = _matrix(pca_gram(cohort), names)
     g -= g.mean(0) + g.mean(1)[:, None] - g.mean()
     w, v = np.linalg.eigh(g)
-    k = max(1, min(n_comps, len(names) - 1))
+    k = max(1, min(n_comps, min(len(names), cohort.sites.limit(len(names)).count()) - 1))
     top = np.argsort(w)[::-1][:k]
     w, v = np.maximum(w[top], 0), v[:, top]
     v *= np.where(v[np.abs(v).argmax(0), np.arange(k)] < 0, -1, 1)
@@ -82,7 +92,7 @@ def correlation_table(cohort: MethylFrame, method: str = "pearson") -> DataFrame
     if method == "pearson":
         means = cohort.calls.groupBy("sample_id").agg(F.avg("beta").alias("mu"))
         d = cohort.calls.where("beta is not null").join(F.broadcast(means), "sample_id")  # a row per sample
-        return _products(d.select("sample_id", *KEY, (F.col("beta") - F.col("mu")).alias("v")))
+        return _products(d.select("sample_id", *KEY, (F.col("beta") - F.col("mu")).alias("v")), cohort.obs_names)
     means = cohort.calls.groupBy("sample_id").agg(F.avg("beta").alias("mu"))
     full = cohort.dense().join(F.broadcast(means), "sample_id").withColumn("b", F.coalesce("beta", "mu", F.lit(0.0)))
     # ranks from counts of different values: ties meet in partial sums
@@ -91,7 +101,7 @@ def correlation_table(cohort: MethylFrame, method: str = "pearson") -> DataFrame
     ranks = c.withColumn("r", upto - (F.col("c") - 1) / 2.0).select("sample_id", "b", "r")
     mid = ranks.join(c, ["sample_id", "b"]).groupBy("sample_id").agg((F.sum(F.col("r") * F.col("c")) / F.sum("c")).alias("mid"))
     d = full.join(ranks, ["sample_id", "b"]).join(F.broadcast(mid), "sample_id")
-    return _products(d.select("sample_id", *KEY, (F.col("r") - F.col("mid")).alias("v")))
+    return _products(d.select("sample_id", *KEY, (F.col("r") - F.col("mid")).alias("v")), cohort.obs_names)
 
 
 def correlation_pairs(cohort: MethylFrame, method: str = "pearson") -> DataFrame:
@@ -142,8 +152,11 @@ def linear_p(x: np.ndarray, y: np.ndarray) -> float:
     return float(special.t_sf2(np.array([r * np.sqrt((n - 2) / (1 - r * r))]), np.array([n - 2.0]))[0])
 
 
-def assoc_comp(cohort: MethylFrame, n_comps: int = 10, metadata_cols: list[str] | None = None, scores: pd.DataFrame | None = None) -> pd.DataFrame:
-    """p-values, components x metadata: Kruskal-Wallis for text or at most ten values, else linear regression. By default the columns with more than one value."""
+def assoc_comp(cohort: MethylFrame, n_comps: int = 10, metadata_cols: list[str] | None = None, scores: pd.DataFrame | None = None, pvalue_threshold: float = 0.05) -> pd.DataFrame:
+    """p-values, components x metadata: Kruskal-Wallis for text or at most ten values, else linear regression. By default the columns with more than one value.
+
+    attrs["significant"] has where they are below pvalue_threshold.
+    """
     scores = pca(cohort, n_comps)[0] if scores is None else scores
     meta = cohort.samples.toPandas().set_index("sample_id").loc[scores.index]
     cols = metadata_cols or [c for c in meta.columns if meta[c].nunique() > 1]
@@ -159,6 +172,7 @@ def assoc_comp(cohort: MethylFrame, n_comps: int = 10, metadata_cols: list[str]
                 out.loc[pc, c] = kruskal(parts) if len(parts) > 1 else float("nan")
             else:
                 out.loc[pc, c] = linear_p(v.to_numpy(float), y)
+    out.attrs["significant"] = out < pvalue_threshold
     return out
 
 

@@ -244,3 +244,16 @@ def test_annotating_a_cohort(spark, toy, tmp_path):
     got = {(r.chr, r.start): (r.feature, r.cpg_region) for r in out.sites.collect()}
     assert got["chr1", 1000] == ("first", "island") and got["chr2", 500] == ("third", "island") and got["chr1", 3000] == (None, "shore") and got["chr3", 9999] == (None, "open_sea")
     assert out.calls is toy.calls and len(got) == toy.n_sites
+
+
+def test_products_of_blocks(toy):
+    names = toy.obs_names
+    rows = toy.calls.toPandas().pivot_table(index=["chr", "start"], columns="sample_id", values="beta")[names]
+    x = rows.sub(rows.mean(axis=1), axis=0).fillna(0).to_numpy()
+    got = {(r.i, r.j): r.g for r in qc.pca_gram(toy).collect()}
+    want = x.T @ x
+    assert got == {(a, b): pytest.approx(want[i, j], abs=1e-6) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j}
+    one = toy.keep(toy.sites.where("chr = 'chr1' and start = 1000"))
+    assert list(qc.pca(one, 3)[0].columns) == ["PC1"]
+    table = qc.assoc_comp(toy, 2, pvalue_threshold=1.1)
+    assert table.attrs["significant"].to_numpy().all() or table.isna().to_numpy().any()
