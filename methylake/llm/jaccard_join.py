@@ -119,6 +119,7 @@ def join(docs: DataFrame, **how) -> DataFrame:
     ws = Workspace(docs.sparkSession, "jaccard")
     texts = distinct_texts(ws, docs)
     found = ws.put(link_texts(ws, texts, **how), "found")
+    ws.drop("texts", "texts_apart")
     keyed = with_tid(ws, docs.select("doc_id", content_key().alias("key"), F.expr(NO_WORDS).alias("void")))
     cls = keyed.where("not void").groupBy("tid").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     cls = ws.put(cls.join(found, "tid", "left").select("tid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "tid").alias("root")), "classes")
@@ -140,4 +141,5 @@ def dedupe(docs: DataFrame, **how) -> DataFrame:
     gone = found.select("tid").join(keeper.select("tid"), "tid", "left_anti")
     left = texts.join(gone, "tid", "left_anti")
     columns = [F.col("text") if c == "text" else F.col(f"row.c.`{c}`").alias(c) for c in docs.columns]
+    ws.forget()
     return left.select(*columns).unionByName(void)
