@@ -367,9 +367,15 @@ def _beta_tail(x: str, y: str, a: str, b: str) -> str:
     return f"""(pow({x}, {a}) * pow({y}, {b}) * exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a} * list_sum(list_transform(range(500), lambda n: exp(lgamma({a} + {b} + n) - lgamma({a} + {b}) - lgamma({a} + 1 + n) + lgamma({a} + 1)) * pow({x}, n))))"""
 
 
-def _limma_sql(prior: str) -> str:
+_RESULT = """numbered AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS n FROM $from),
+fdr AS (SELECT *, LEAST(1.0, MIN(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM numbered)
+SELECT s.chr, s."start", s."end", s.strand, s.context, ROUND(p, 6) AS pvalue, ROUND(q, 6) AS qvalue, ROUND(mb - ma, 6) AS mean_diff, ROUND(ma, 6) AS mean_meth_control, ROUND(mb, 6) AS mean_meth_treated
+FROM sites s JOIN fdr ON fdr.chr = s.chr AND fdr."start" = s."start" JOIN pooled ON pooled.chr = s.chr AND pooled."start" = s."start" """
+
+
+def _limma_sql(prior: str, fits: str = _FITS) -> str:
     """prior: the rows moments (excess, and s0 as an expression of d0) of the variance prior."""
-    return (CTE + _POOLED + _FITS + prior + f""",
+    return (CTE + _POOLED + fits + prior + f""",
 root AS (SELECT 0 AS i, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi UNION ALL
   SELECT i + 1, CASE WHEN {_trigamma("exp((lo + hi) / 2)")} > excess THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_trigamma("exp((lo + hi) / 2)")} > excess THEN hi ELSE (lo + hi) / 2 END FROM root, moments WHERE i < 100),
 solved AS (SELECT moments.*, 2 * exp((lo + hi) / 2) AS d FROM moments, root WHERE i = 100),
@@ -377,15 +383,27 @@ prior AS (SELECT *, {{s0}} AS s0 FROM (SELECT *, {{d0}} AS d0 FROM solved)),
 tt AS (SELECT fits.*, df + d0 AS k, pow(coef / (sqrt((df * s2 + d0 * s0) / (df + d0)) * unscaled), 2) AS t2 FROM fits, prior),
 xx AS (SELECT *, k / 2 AS a, k / (k + t2) AS x, t2 / (k + t2) AS y FROM tt),
 moderated AS (SELECT *, CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1.0 WHEN x > 0.1 THEN 1 - {_beta_tail("y", "x", "0.5", "a")} ELSE {_beta_tail("x", "y", "a", "0.5")} END AS p FROM xx),
-numbered AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS n FROM moderated),
-fdr AS (SELECT *, LEAST(1.0, MIN(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM numbered)
-SELECT s.chr, s."start", s."end", s.strand, s.context, ROUND(p, 6) AS pvalue, ROUND(q, 6) AS qvalue, ROUND(mb - ma, 6) AS mean_diff, ROUND(ma, 6) AS mean_meth_control, ROUND(mb, 6) AS mean_meth_treated
-FROM sites s JOIN fdr ON fdr.chr = s.chr AND fdr."start" = s."start" JOIN pooled ON pooled.chr = s.chr AND pooled."start" = s."start" """).replace("WITH raw", "WITH RECURSIVE raw", 1)
+""" + _RESULT.replace("$from", "moderated")).replace("WITH raw", "WITH RECURSIVE raw", 1)
 
 
 _Z = "ln(GREATEST(s2, 1e-10))"
-_COMPAT = _limma_sql(f""", moments AS (SELECT AVG({_Z}) AS mean, VAR_POP({_Z}) AS spread, AVG(df) AS d_mean, MEDIAN(s2) AS mid, VAR_POP({_Z}) - {_trigamma("(AVG(df) / 2)")} AS excess FROM fits WHERE s2 IS NOT NULL)""")
-_COMPAT = _COMPAT.replace("{d0}", "CASE WHEN spread = 0 THEN 1e6 WHEN excess > 0 AND d BETWEEN 2 AND 200 THEN d ELSE 50.0 END").replace("{s0}", f"CASE WHEN spread = 0 THEN exp(mean) WHEN excess > 0 THEN exp(mean + {_digamma('(d_mean / 2)')} - {_digamma('(d0 / 2)')}) ELSE mid END")
+_MOMENTS = f""", moments AS (SELECT AVG({_Z}) AS mean, VAR_POP({_Z}) AS spread, AVG(df) AS d_mean, MEDIAN(s2) AS mid, VAR_POP({_Z}) - {_trigamma("(AVG(df) / 2)")} AS excess FROM fits WHERE s2 IS NOT NULL)"""
+
+
+def _compat(sql: str) -> str:
+    sql = sql.replace("{d0}", "CASE WHEN spread = 0 THEN 1e6 WHEN excess > 0 AND d BETWEEN 2 AND 200 THEN d ELSE 50.0 END")
+    return sql.replace("{s0}", f"CASE WHEN spread = 0 THEN exp(mean) WHEN excess > 0 THEN exp(mean + {_digamma('(d_mean / 2)')} - {_digamma('(d0 / 2)')}) ELSE mid END")
+
+
+_COMPAT = _compat(_limma_sql(_MOMENTS))
+# with the batch as a covariate: deviations from the batch's mean make a regression without it
+_BATCH = """, v AS (SELECT *, log2((methylated + 0.5) / (coverage - methylated + 0.5)) AS m, CASE WHEN grp = 'treated' THEN 1.0 ELSE 0.0 END AS t, sample_id IN ('s0', 's1', 's2') AS batch FROM calls WHERE coverage > 0),
+w AS (SELECT *, m - AVG(m) OVER (PARTITION BY chr, "start", batch) AS dm, t - AVG(t) OVER (PARTITION BY chr, "start", batch) AS dt FROM v),
+f AS (SELECT chr, "start", "end", COUNT(*) AS n, COUNT(DISTINCT batch) AS batches, SUM(dt * dt) AS xx, SUM(dt * dm) AS xy FROM w GROUP BY chr, "start", "end"),
+g AS (SELECT *, batches = 2 AND n > 3 AND xx > 1e-9 AS ok FROM f),
+rest AS (SELECT chr, "start", SUM(pow(dm - xy / xx * dt, 2)) AS rss FROM w JOIN g USING (chr, "start") WHERE ok GROUP BY chr, "start"),
+fits AS (SELECT g.chr, g."start", "end", CASE WHEN ok THEN xy / xx END AS coef, CASE WHEN ok THEN rss / (n - 3) END AS s2, CASE WHEN ok THEN n - 3 END AS df, CASE WHEN ok THEN 1 / sqrt(xx) END AS unscaled FROM g LEFT JOIN rest ON rest.chr = g.chr AND rest."start" = g."start")
+"""
 _E = f"({_Z} - {_digamma('(df / 2)')} + ln(df / 2))"
 _TEXTBOOK = _limma_sql(f""", moments AS (SELECT AVG(e) AS mean, VAR_SAMP(e) - AVG(t) AS excess FROM (SELECT {_E} AS e, {_trigamma("(df / 2)")} AS t FROM fits WHERE s2 IS NOT NULL))""")
 _TEXTBOOK = _TEXTBOOK.replace("{d0}", "d").replace("{s0}", f"exp(mean + {_digamma('(d0 / 2)')} - ln(d0 / 2))")
@@ -415,9 +433,9 @@ def limma_exact_prior(spark, sf):
     return _tested(stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma", method="exact"))
 
 
-@query()
+@query(_compat(_limma_sql(_MOMENTS, _BATCH)), bare=True)
 def limma_covariates(spark, sf):
-    return stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma", covariates=["batch"])
+    return _tested(stats.calculate_diff_meth(testdata.cohort(spark, sf), test="limma", covariates=["batch"]))
 
 
 def _pair_sum(g: str, body: str) -> str:
@@ -454,8 +472,9 @@ it AS (SELECT *, 0 AS k, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS la
 fitted AS (SELECT *, {_mu("c0")} AS mu_a, {_mu("c0 + c1")} AS mu_b, {_mu("la")} AS v_a, {_mu("lb")} AS v_b FROM it QUALIFY ROW_NUMBER() OVER (PARTITION BY chr, "start" ORDER BY k DESC) = 1),
 """
 _WALD = _GLM + f"""parts AS (SELECT *, {_pair_sum("a", _weight("v_a"))} AS sa, {_pair_sum("b", _weight("v_b"))} AS sb, {_pair_sum("a", f"(($y - mu_a) * ($y - mu_a) / {_weight('v_a')})")} AS ca, {_pair_sum("b", f"(($y - mu_b) * ($y - mu_b) / {_weight('v_b')})")} AS cb FROM fitted),
-z AS (SELECT *, abs(c1 / GREATEST(sqrt(ca / (sa * sa) + cb / (sb * sb)), 1e-10)) / sqrt(2) AS x FROM parts)
-SELECT {K}, CASE WHEN list_sum(na) = 0 OR list_sum(nb) = 0 THEN 1.0 ELSE ROUND({_erfc("x")}, 6) END AS pvalue FROM z"""
+z AS (SELECT *, abs(c1 / GREATEST(sqrt(ca / (sa * sa) + cb / (sb * sb)), 1e-10)) / sqrt(2) AS x FROM parts),
+wald AS (SELECT {K}, CASE WHEN list_sum(na) = 0 OR list_sum(nb) = 0 THEN 1.0 ELSE {_erfc("x")} END AS p FROM z)
+"""
 _LRT = _GLM + f"""alone AS (SELECT *, 0 AS k, 0.0::DOUBLE AS c0, 1.0::DOUBLE AS moved FROM site UNION ALL
   SELECT chr, "start", "end", ya, na, yb, nb, k + 1, d0, abs(d0 - c0) FROM
   (SELECT *, (c0 * s + r) / (s + 1e-12) AS d0 FROM
@@ -469,7 +488,7 @@ z AS (SELECT *, sqrt(stat / 2) AS x FROM lr)
 SELECT {K}, ROUND(stat, 6) AS statistic, ROUND({_erfc("x")}, 6) AS pvalue FROM z"""
 
 
-@query(_WALD, bare=True)
+@query(_WALD + f"SELECT {K}, ROUND(p, 6) AS pvalue FROM wald", bare=True)
 def glm_wald(spark, sf):
     return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated").select(*KEY, *r6("pvalue"))
 
@@ -479,9 +498,9 @@ def glm_lrt(spark, sf):
     return stats.glm_lrt_test(testdata.cohort(spark, sf), "group", "control", "treated", overdispersion=False).select(*KEY, *r6("statistic", "pvalue"))
 
 
-@query()
+@query(_WALD + _POOLED + ", " + _RESULT.replace("$from", "wald"), bare=True)
 def glm_dmc(spark, sf):
-    return stats.calculate_diff_meth(testdata.cohort(spark, sf), test="glm")
+    return _tested(stats.calculate_diff_meth(testdata.cohort(spark, sf), test="glm"))
 
 
 @query()
