@@ -112,6 +112,28 @@ def test_fisher_modes(spark):
     assert "log2_odds_ratio" in stats.calculate_diff_meth(m).columns  # one against one
 
 
+def test_fisher_large_counts_match_sql(spark):
+    import duckdb
+
+    from methylake.operators.cohort import MethylFrame
+    from methylake.plans import registry
+
+    a, b, c, d = 6680, 10780, 2633, 4327  # the p-value is next to a half in the sixth place
+    rows = [("a", "chr1", 0, 1, a, a + b, 38.0), ("b", "chr1", 0, 1, c, c + d, 37.0)]
+    calls = spark.createDataFrame(rows, "sample_id string, chr string, start long, end long, methylated long, coverage long, beta double")
+    m = MethylFrame(calls, calls.select("chr", "start", "end").distinct(), spark.createDataFrame([("a", "control"), ("b", "treated")], "sample_id string, group string"))
+    own = f"""WITH calls AS (SELECT 'chr1' AS chr, 0 AS "start", 1 AS "end", * FROM (VALUES ('control', {a}::BIGINT, {a + b}::BIGINT, 38.0), ('treated', {c}, {c + d}, 37.0)) v(grp, methylated, coverage, beta))"""
+    (want,) = duckdb.connect().execute(own + registry._POOLED + "SELECT p FROM fisher").fetchall()[0]
+    p = stats.fisher_exact_test(m, "group", "control", "treated")
+    assert p.first().pvalue == pytest.approx(want, rel=1e-13)
+    assert p.select(F.round("pvalue", 6)).first()[0] == round(want, 6)
+    # many wide tables are cut into parts, none is lost
+    many = [np.full(300, x) for x in (a, b, c, d)]
+    upper, two = special.hypergeom_tails(*many)
+    assert len(upper) == len(two) == 300 and np.ptp(upper) == 0 and 2 * upper[0] == pytest.approx(want, rel=1e-13)
+    assert [len(x) for x in special.hypergeom_tails(*(v[:0] for v in many))] == [0, 0]
+
+
 def test_diff_meth(toy):
     out = stats.calculate_diff_meth(toy)
     assert "log2_odds_ratio" not in out.columns and out.count() == 10
