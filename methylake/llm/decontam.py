@@ -214,13 +214,26 @@ def lcs(item: list[bytes], words: list[bytes]) -> int:
     return len(item) - row.bit_count()
 
 
+def block_sums(emb: np.ndarray, idx: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Sum of the words' vectors of each word block, word by word over all blocks at once; the last blocks are filled with no term, whose vector is zero."""
+    nb = -(-lens // STEP)
+    first = np.cumsum(nb) - nb
+    full = np.full(int(nb.sum()) * STEP, -1)
+    full[np.arange(len(idx)) + np.repeat(STEP * first - (np.cumsum(lens) - lens), lens)] = idx
+    full = full.reshape(-1, STEP)
+    out = emb[full[:, 0]]
+    for j in range(1, STEP):
+        out += emb[full[:, j]]
+    return out
+
+
 def near_latent(m: Model, idx: np.ndarray, lens: np.ndarray, cosine: float) -> dict[tuple[int, int], list[int]]:
     """(text, item) -> places of the passages that are near the item in latent space."""
     starts, text, lo, hi = passages(lens)
     spots: dict[tuple[int, int], list[int]] = {}
     if not len(starts) or not len(m.query):
         return spots
-    sums = np.vstack((np.zeros(m.emb.shape[1], np.float32), np.add.reduceat(m.emb[idx], starts, axis=0)))
+    sums = np.vstack((np.zeros(m.emb.shape[1], np.float32), block_sums(m.emb, idx, lens)))
     np.cumsum(sums, axis=0, out=sums)
     mass = np.concatenate(([0.0], np.cumsum(np.add.reduceat(m.mass[idx].astype(np.float64), starts))))
     x = sums[hi] - sums[lo]

@@ -161,6 +161,16 @@ def test_decontamination(leaks, block):
     assert {i: v for i, v in got.items() if v} == want and len(got) == 204
 
 
+def test_decontamination_block_sums():
+    rng = np.random.default_rng(3)
+    emb = np.vstack((rng.standard_normal((50, 6)), np.zeros(6))).astype(np.float32)
+    lens = np.array([0, 1, 7, 8, 0, 9, 100, 16, 0])
+    idx = rng.integers(-1, 50, int(lens.sum()))
+    ends = np.cumsum(lens)
+    want = [emb[idx[i : min(i + decontam.STEP, e)]].sum(0) for n, e in zip(lens, ends, strict=True) for i in range(e - n, e, decontam.STEP)]
+    assert np.allclose(decontam.block_sums(emb, idx, lens), want, atol=1e-5)
+
+
 def test_decontamination_edges(leaks, docs, empty, clashing):
     _, bench, _ = leaks
     assert decontam.scan(empty, bench).count() == 0
